@@ -4,6 +4,7 @@ from itembank.plans import (  # noqa: F401
     reports,
     review,
     repository,
+    scalars,
 )
 from itembank.plans.registry import ORACLES, QUERIES
 
