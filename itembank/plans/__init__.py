@@ -5,6 +5,7 @@ from itembank.plans import (  # noqa: F401
     review,
     repository,
     scalars,
+    segment,
 )
 from itembank.plans.registry import ORACLES, QUERIES
 

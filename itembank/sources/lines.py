@@ -74,7 +74,7 @@ def extension(file_name: Column) -> Column:
 
 def content_guess(content: Column) -> Column:
     """A guess at the real type from the first bytes."""
-    head = F.decode(F.substring(content, 1, 8), F.lit("ISO-8859-1"))
+    head = F.decode(F.substring(content, 1, 8), "ISO-8859-1")
     return (
         F.when(head.startswith("PK"), "zip").when(head.startswith("%PDF"), "pdf").when(head.startswith("%!PS"), "postscript")
         .when(head.startswith("{\\rtf"), "rtf").when(F.hex(F.substring(content, 1, 4)) == "D0CF11E0", "old office")
@@ -83,7 +83,7 @@ def content_guess(content: Column) -> Column:
 
 
 def has_pdf_mark(content: Column) -> Column:
-    return F.decode(F.substring(content, 1, 1024), F.lit("ISO-8859-1")).contains("%PDF-")
+    return F.decode(F.substring(content, 1, 1024), "ISO-8859-1").contains("%PDF-")
 
 
 def triage(files: DataFrame, name: str = "file_name", content: str = "content") -> DataFrame:
