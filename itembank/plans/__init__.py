@@ -1,6 +1,8 @@
 """All registered queries."""
 
 from itembank.plans import (  # noqa: F401
+    generate,
+    layout,
     reports,
     review,
     repository,

@@ -13,7 +13,7 @@ from itembank.plans.sqltext import (
     strim_answer, syear, SWS,
 )
 from itembank.plans.sqlviews import QTYPE
-from itembank.sources.tables import _pick, table
+from itembank.sources.tables import _pick, spread, table
 from itembank.constants import QUESTION_TYPES
 
 
@@ -38,7 +38,7 @@ def _parts_sql(templates: list[str]) -> str:
 def _docs(spark, sf) -> DataFrame:
     """Document texts with the odd spaces and marks that real files carry."""
     t = F.replace(F.replace("text", F.lit(", "), F.lit(",　")), F.lit(". "), F.lit(". ​ "))
-    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("﻿"), t, F.lit(" \r\n")).alias("text"))
+    return spread(table(spark, sf, "documents")).select("doc_id", F.concat(F.lit("﻿"), t, F.lit(" \r\n")).alias("text"))
 
 
 DOCS = (
