@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from itembank.functions.text import WS, compact, trim_ws
+from itembank.operators.segment import staged
 
 # --- fixed values: tolerances ---------------------------------------------------------------------
 ROW_TOLERANCE, VOTE_TOLERANCE = 1.5, 2.0
@@ -68,19 +69,23 @@ def two_means(framed: DataFrame) -> DataFrame:
     page = framed.groupBy(*PAGE).agg(
         F.max("width").alias("width"), F.array_sort(F.collect_list((F.col("x") + F.col("right")) / 2)).alias("cs")
     )
-    mean = "aggregate({side}, 0D, (q, c) -> q + c, q -> q / size({side}))"
-    near = "filter(cs, c -> abs(c - s.a) <= abs(c - s.b))"
-    far = "filter(cs, c -> abs(c - s.a) > abs(c - s.b))"
-    step = f"""(s, i) -> CASE WHEN s.done THEN s WHEN size({near}) = 0 OR size({far}) = 0 THEN named_struct('a', s.a, 'b', s.b, 'done', true, 'ok', false)
-        ELSE transform(array(named_struct('a', {mean.format(side=near)}, 'b', {mean.format(side=far)})),
-            m -> named_struct('a', m.a, 'b', m.b, 'done', abs(m.a - s.a) < 0.5D AND abs(m.b - s.b) < 0.5D, 'ok', true))[0] END"""
-    fit = page.withColumn(
-        "m", F.expr(f"aggregate(sequence(1, 12), named_struct('a', cs[0], 'b', element_at(cs, -1), 'done', false, 'ok', element_at(cs, -1) > cs[0]), {step})")
-    ).filter("m.ok").selectExpr(*PAGE, "width", "cs", "least(m.a, m.b) AS lo", "greatest(m.a, m.b) AS hi")
-    guarded = fit.filter("hi - lo >= greatest(width * 0.25D, 60D)").filter(
-        "size(filter(cs, c -> c >= lo + (hi - lo) * 0.25D AND c <= lo + (hi - lo) * 0.75D)) <= size(cs) * 0.12D"
-    ).filter("size(filter(cs, c -> c < (lo + hi) / 2)) >= size(cs) * 0.15D AND size(filter(cs, c -> c >= (lo + hi) / 2)) >= size(cs) * 0.15D")
-    return guarded.selectExpr(*PAGE, "(lo + hi) / 2 AS split_x")
+    page = staged(page, total=F.expr("aggregate(cs, 0D, (q, c) -> q + c)"))
+    low = """aggregate(cs, named_struct('n', 0, 'sum', 0D),
+        (q, c) -> if(c <= (s.a + s.b) / 2, named_struct('n', q.n + 1, 'sum', q.sum + c), q))"""
+    move = """named_struct('a', l.sum / l.n, 'b', (total - l.sum) / (size(cs) - l.n),
+        'done', abs(l.sum / l.n - s.a) < 0.5D AND abs((total - l.sum) / (size(cs) - l.n) - s.b) < 0.5D, 'ok', true)"""
+    stop = "named_struct('a', s.a, 'b', s.b, 'done', true, 'ok', false)"
+    step = f"(s, i) -> if(s.done, s, transform(array({low}), l -> if(l.n = 0 OR l.n = size(cs), {stop}, {move}))[0])"
+    start = "named_struct('a', cs[0], 'b', element_at(cs, -1), 'done', element_at(cs, -1) <= cs[0], 'ok', element_at(cs, -1) > cs[0])"
+    fit = staged(page, m=F.expr(f"aggregate(sequence(1, 12), {start}, {step})"))
+    fit = staged(fit, ok=F.col("m.ok"), lo=F.col("m.a"), hi=F.col("m.b"))
+    within = lambda cond: F.expr(f"size(filter(cs, c -> {cond}))")
+    fit = staged(
+        fit, mid_n=within("c >= lo + (hi - lo) * 0.25D AND c <= lo + (hi - lo) * 0.75D"), left_n=within("c < (lo + hi) / 2"), n=F.size("cs")
+    )
+    return fit.filter(
+        "ok AND hi - lo >= greatest(width * 0.25D, 60D) AND mid_n <= n * 0.12D AND left_n >= n * 0.15D AND n - left_n >= n * 0.15D"
+    ).selectExpr(*PAGE, "(lo + hi) / 2 AS split_x")
 
 
 def blank_band(framed: DataFrame) -> DataFrame:
@@ -95,7 +100,7 @@ def blank_band(framed: DataFrame) -> DataFrame:
         (s, i) -> CASE WHEN array_contains(bins, i) THEN named_struct('from', -1, 'best', s.best, 'len', s.len)
             ELSE transform(array(if(s.from < 0, i, s.from)), f -> named_struct('from', f, 'best', if(i - f + 1 > s.len, f, s.best),
                 'len', greatest(s.len, i - f + 1)))[0] END)"""
-    return covered.withColumn("r", F.expr(run)).filter("r.len >= 3").selectExpr(
+    return staged(covered, r=F.expr(run)).filter("r.len >= 3").selectExpr(
         *PAGE, "min_x + ((r.best + r.len / 2) / 100) * width AS split_x"
     )
 

@@ -1,6 +1,7 @@
 """All registered queries."""
 
 from itembank.plans import (  # noqa: F401
+    extraction,
     generate,
     layout,
     reports,
@@ -8,6 +9,7 @@ from itembank.plans import (  # noqa: F401
     repository,
     scalars,
     segment,
+    streaming,
 )
 from itembank.plans.registry import ORACLES, QUERIES
 

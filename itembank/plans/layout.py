@@ -17,8 +17,8 @@ def items(spark, sf):
     per = "if(two, 300, 600)"
     return words.selectExpr(
         "doc_id", "cast(m div 600 + 1 AS int) AS page", "m AS item_no",
-        f"cast(36 + if(two AND m % 600 >= 300, 306, 0) + (m % {per}) % if(two, 5, 10) * if(two, 50, 55) AS double) AS x",
-        f"cast(800 - 12 * ((m % {per}) div if(two, 5, 10)) AS double) AS y", "cast(least(length(str) * 4, 45) AS double) AS w", "10D AS h", "str",
+        f"cast(36 + if(two AND m % 600 >= 300, 306, 0) + (m % {per}) % if(two, 5, 10) * if(two, 30, 55) AS double) AS x",
+        f"cast(800 - 12 * ((m % {per}) div if(two, 5, 10)) AS double) AS y", "cast(least(length(str) * 4, 25) AS double) AS w", "10D AS h", "str",
     )
 
 
@@ -26,8 +26,8 @@ ITEMS = r"""
 w0 AS (SELECT doc_id, regexp_extract_all(text, '[^ \t\r\n]+') AS ws, doc_id % 2 = 0 AS two FROM documents),
 w1 AS (SELECT doc_id, two, unnest(ws) AS str, generate_subscripts(ws, 1) - 1 AS m FROM w0),
 v_items AS (SELECT doc_id, CAST(m // 600 + 1 AS INT) AS page, CAST(m AS INT) AS item_no,
-  CAST(36 + CASE WHEN two AND m % 600 >= 300 THEN 306 ELSE 0 END + CASE WHEN two THEN (m % 300) % 5 * 50 ELSE (m % 600) % 10 * 55 END AS DOUBLE) AS x,
-  CAST(800 - 12 * CASE WHEN two THEN (m % 300) // 5 ELSE (m % 600) // 10 END AS DOUBLE) AS y, CAST(least(length(str) * 4, 45) AS DOUBLE) AS w, 10.0 AS h, str FROM w1)"""
+  CAST(36 + CASE WHEN two AND m % 600 >= 300 THEN 306 ELSE 0 END + CASE WHEN two THEN (m % 300) % 5 * 30 ELSE (m % 600) % 10 * 55 END AS DOUBLE) AS x,
+  CAST(800 - 12 * CASE WHEN two THEN (m % 300) // 5 ELSE (m % 600) // 10 END AS DOUBLE) AS y, CAST(least(length(str) * 4, 25) AS DOUBLE) AS w, 10.0 AS h, str FROM w1)"""
 ROWS = ITEMS + """,
 g0 AS (SELECT *, CASE WHEN lag(y) OVER w - y <= {tol} THEN 0 ELSE 1 END AS o FROM v_items WINDOW w AS (PARTITION BY doc_id, page ORDER BY y DESC, x, item_no)),
 v_rows AS (SELECT *, CAST(sum(o) OVER (PARTITION BY doc_id, page ORDER BY y DESC, x, item_no ROWS UNBOUNDED PRECEDING) AS BIGINT) AS row FROM g0)"""
