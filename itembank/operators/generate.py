@@ -113,13 +113,14 @@ def prepared_lines(lines: DataFrame) -> DataFrame:
 def drop_repeated_headers(lines: DataFrame) -> DataFrame:
     """Drop short lines that occur three times or more in a bank.
 
-    Only short lines are shuffled, as a map-side combined count; long ones pass untouched.
+    The repeated lines come from a map-side combined count and are looked up by key. A long line
+    carries a key of its own, so that a shuffled lookup spreads evenly.
     """
+    own = F.concat_ws("#", F.lit("##"), F.col("doc_id").cast("string"), F.col("pos").cast("string"))
     keyed = staged(lines, _key=compact(F.col("text")))
-    short = keyed.filter(F.length("_key") <= REPEAT_MAX_CHARS)
-    repeated = short.groupBy("bank", "_key").agg(F.count("*").alias("_n")).filter(F.col("_n") >= REPEAT_MIN)
-    kept = short.join(repeated.select("bank", "_key"), ["bank", "_key"], "left_anti")
-    return kept.unionByName(keyed.filter(F.length("_key") > REPEAT_MAX_CHARS)).drop("_key")
+    keyed = keyed.withColumn("_key", F.when(F.length("_key") <= REPEAT_MAX_CHARS, F.col("_key")).otherwise(own))
+    repeated = keyed.filter(~F.col("_key").startswith("##")).groupBy("bank", "_key").agg(F.count("*").alias("_n")).filter(F.col("_n") >= REPEAT_MIN)
+    return keyed.join(repeated.select("bank", "_key"), ["bank", "_key"], "left_anti").drop("_key").select(*lines.columns)
 
 
 def is_page_number(c: Column) -> Column:
@@ -136,11 +137,11 @@ def sentences(lines: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     return lines.filter(~is_page_number(F.col("text"))).select(*rest, F.posexplode(kept).alias("sent", "text"))
 
 
-def is_heading(raw: Column) -> Column:
-    t = compact(strip_bullets(raw))
-    numbered = sub(raw, BULLETS).rlike(HEADING_PREFIX) & (F.length(t) <= 24)
-    short = (F.length(t) <= 16) & ~raw.rlike(r"[，,、：:；;]") & ~t.rlike(r"[是了在为的有会能与]")
-    return (t != "") & ~raw.rlike(r"[。！？；]$") & (numbered | short)
+def is_heading(raw: Column, bare: Column, squeezed: Column) -> Column:
+    """``bare`` is the text without its first bullets, ``squeezed`` without bullets, numbers and blanks."""
+    numbered = bare.rlike(HEADING_PREFIX) & (F.length(squeezed) <= 24)
+    short = (F.length(squeezed) <= 16) & ~raw.rlike(r"[，,、：:；;]") & ~squeezed.rlike(r"[是了在为的有会能与]")
+    return (squeezed != "") & ~raw.rlike(r"[。！？；]$") & (numbered | short)
 
 
 def heading_text(raw: Column) -> Column:
@@ -148,13 +149,12 @@ def heading_text(raw: Column) -> Column:
     return F.when(F.length(compact(t)) > 20, F.substring(t, 1, 20)).otherwise(t)
 
 
-def noise_reason(raw: Column) -> Column:
-    """Why a sentence cannot carry an item; empty when it can."""
-    n = compact_len(raw)
-    t = compact(raw)
+def noise_reason(raw: Column, bare: Column, t: Column) -> Column:
+    """Why a sentence cannot carry an item; empty when it can. ``t`` is the text without blanks."""
+    n = F.length(t)
     return (
-        F.when(n < MIN_SENTENCE, "short").when((t == "") | t.rlike(TOC_LINES), "contents").when(is_page_number(raw), "page")
-        .when(raw.rlike(PROMO), "promo").when(sub(raw, BULLETS).rlike(ANSWER_LINE), "answer line")
+        F.when(n < MIN_SENTENCE, "short").when((t == "") | t.rlike(TOC_LINES), "contents").when(t.rlike(PAGE_LINES), "page")
+        .when(raw.rlike(PROMO), "promo").when(bare.rlike(ANSWER_LINE), "answer line")
         .when(raw.rlike(rf"^[A-Da-d][.、)）][{WS}]*[一-龥]"), "option line")
         .when(raw.rlike(rf"^[（(]?[{WS}]*\d+[{WS}]*[)）][{WS}]*[一-龥]") & (n < MIN_SENTENCE + 2), "numbered fragment")
         .otherwise("")
@@ -164,7 +164,9 @@ def noise_reason(raw: Column) -> Column:
 def filter_sentences(sents: DataFrame) -> DataFrame:
     """Add reason: heading, one of the noise reasons, or empty for a usable sentence."""
     raw = F.col("text")
-    return staged(sents, reason=F.when(is_heading(raw), "heading").otherwise(noise_reason(raw)))
+    rows = staged(sents, _bare=sub(raw, BULLETS), _squeezed=compact(strip_bullets(raw)), _t=compact(raw))
+    head = is_heading(raw, F.col("_bare"), F.col("_squeezed"))
+    return staged(rows, reason=F.when(head, "heading").otherwise(noise_reason(raw, F.col("_bare"), F.col("_t")))).drop("_bare", "_squeezed", "_t")
 
 
 def carry_topics(filtered: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from itembank.functions.text import WS, compact, trim_ws
 from itembank.operators.segment import staged
+from itembank.session import materialize
 
 # --- fixed values: tolerances ---------------------------------------------------------------------
 ROW_TOLERANCE, VOTE_TOLERANCE = 1.5, 2.0
@@ -132,9 +133,10 @@ def gap_vote(framed: DataFrame) -> DataFrame:
 def column_splits(items: DataFrame) -> DataFrame:
     """The split of each two-column page: two means, else the blank band, else the vote.
 
-    A split counts only with ten items on each side.
+    A split counts only with ten items on each side. The measured items are read by every attempt,
+    so they are written once.
     """
-    framed = _with_frame(items)
+    framed = materialize(_with_frame(items).select(*PAGE, "item_no", "x", "y", "right", "min_x", "width"), "framed")
     tries = [f(framed).select(*PAGE, F.lit(i).alias("step"), "split_x") for i, f in enumerate((two_means, blank_band, gap_vote))]
     splits = tries[0].unionByName(tries[1]).unionByName(tries[2])
     sides = framed.select(*PAGE, "x").join(splits, PAGE).groupBy(*PAGE, "step", "split_x").agg(
