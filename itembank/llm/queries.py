@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from itembank.llm.common import table
+from itembank.llm.secrets import secret_report
 from itembank.llm.token_counts import token_counts
 from itembank.llm.token_files import token_digest
 
@@ -35,3 +36,8 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_token_counts")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return token_counts(table(spark, sf, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+@query("op8_secrets")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_report(table(spark, sf, "documents"))
