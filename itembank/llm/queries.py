@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from itembank.llm.common import table
-from itembank.llm.secrets import secret_report
+from itembank.llm.fingerprints import edit_report
+from itembank.llm.secret_scan import secret_report
 from itembank.llm.token_counts import token_counts
 from itembank.llm.token_files import token_digest
 
@@ -41,3 +42,8 @@ def op6(spark: SparkSession, sf: str) -> DataFrame:
 @query("op8_secrets")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return secret_report(table(spark, sf, "documents"))
+
+
+@query("op7_fingerprints")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return edit_report(table(spark, sf, "documents"))
