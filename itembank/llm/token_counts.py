@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from itembank.llm.common import documents, worker_memo
-from itembank.llm.tokenizer_files import MEMO_ENTRIES, load
+from itembank.llm.tokenizer_files import Memo, load
 
 #: Fixed value: the word pattern of the tokenizer file.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -33,43 +33,42 @@ class Counter:
     """Counts of whole texts, chunk by chunk between blanks.
 
     The pattern drops white space, so a blank or line feed always ends a pre-token. A chunk
-    of ASCII letters whose pre-tokens are all proved whole tokens counts one for each; other
-    chunks are merged by the library. Counts of chunks are kept per worker, up to a bound
-    after which the memo starts anew.
+    of ASCII characters whose pre-tokens are all proved whole tokens counts one for each; other
+    chunks are merged by the library. Counts of chunks are kept in a
+    bounded memo per worker.
     """
 
     def __init__(self, path: str):
-        self.tokenizer, self.memo = load(path), worker_memo(f"counts:{path}")
+        self.tokenizer, self.memo = load(path), Memo(f"counts:{path}")
         proofs = worker_memo("whole")
         if path not in proofs:
             proofs[path] = whole_tokens(self.tokenizer)
         self.whole, self.words = proofs[path], regex.compile(WORD_PATTERN).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def _learn(self, chunks: list[str]) -> None:
+    def _learn(self, chunks: set[str], young: dict) -> None:
         rest = []
-        for chunk in chunks:
+        for chunk in self.memo.missing(chunks):
             if chunk.isascii() and not any(s in chunk for s in self.special):
                 words = self.words(chunk.lower())
                 if self.whole.issuperset(words):
-                    self.memo[chunk] = len(words)
+                    young[chunk] = len(words)
                     continue
             rest.append(chunk)
         for start in range(0, len(rest), 10_000):
             part = rest[start : start + 10_000]
-            found = self.tokenizer.encode_batch(part, add_special_tokens=False)
-            self.memo.update((c, len(e.ids)) for c, e in zip(part, found, strict=True))
+            found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
+            young.update((c, len(e.ids)) for c, e in zip(part, found, strict=True))
 
     def count(self, texts: list[str]) -> list[int]:
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
+        young = self.memo.young()
         cut = [text.replace("\n", " ").split(" ") for text in texts]
-        new = set()
-        for chunks in cut:
-            new.update(chunks)
-        self._learn(list(new.difference(self.memo)))
-        of = self.memo.__getitem__
-        return [sum(map(of, chunks)) for chunks in cut]
+        chunks: set[str] = set()
+        for parts in cut:
+            chunks.update(parts)
+        self._learn(chunks, young)
+        of = young.__getitem__
+        return [sum(map(of, parts)) for parts in cut]
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> DataFrame:

@@ -5,9 +5,37 @@ from __future__ import annotations
 import os
 import re
 
+import numpy as np
+
 from itembank.llm.common import worker_memo
 
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 250_000
+
+
+class Memo:
+    """What was found for strings, in two generations: when the young one is full it becomes
+    the old one, and entries still in use move over again. Its size is bounded."""
+
+    def __init__(self, name: str):
+        self.state = worker_memo(name)
+        self.state.setdefault("young", {})
+        self.state.setdefault("old", {})
+
+    def young(self) -> dict:
+        if len(self.state["young"]) > MEMO_ENTRIES:
+            self.state["old"], self.state["young"] = self.state["young"], {}
+        return self.state["young"]
+
+    def missing(self, keys: set[str]) -> list[str]:
+        """Those of the keys that neither generation has; the others are in the young one afterwards."""
+        young, old = self.state["young"], self.state["old"]
+        rest = []
+        for key in keys.difference(young):
+            if (value := old.get(key)) is None:
+                rest.append(key)
+            else:
+                young[key] = value
+        return rest
 
 
 def load(path: str):
@@ -25,40 +53,43 @@ class ByteLevelEncoder:
     """Ids of whole texts as bytes of fixed-width little-endian integers.
 
     In the byte-level pattern every single space between other characters starts a pre-token,
-    so a text without two white-space characters in a row is cut before each space and the
-    chunks are encoded on their own; equal chunks are encoded once per worker. Other texts,
-    and texts that may hold an added token, go to the library whole. The ids are the same.
+    so a text without two white-space characters in a row is cut before each space, and a chunk
+    seen before is found in a memo. Other texts, and texts that may hold an added token, go to
+    the library whole. The ids are the same.
     """
 
     def __init__(self, path: str, width: int):
         self.tokenizer, self.kind, self.size = load(path), f"<u{width}", width
-        self.memo = worker_memo(f"ids:{path}:{width}")
+        self.memo = Memo(f"ids:{path}:{width}")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.gaps = re.compile(r"\s\s")
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        import numpy as np
-
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in found]
 
+    def _learn(self, chunks: set[str], young: dict) -> None:
+        """Encode new chunks as the words of one input; word numbers tell where each one's ids end."""
+        young[""] = b""
+        rest = self.memo.missing(chunks)
+        for start in range(0, len(rest), 10_000):
+            part = rest[start : start + 10_000]
+            found = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids = np.array(found.ids, dtype=self.kind).tobytes()
+            ends = (np.cumsum(np.bincount(found.word_ids, minlength=len(part))) * self.size).tolist()
+            young.update((c, ids[i:j]) for c, i, j in zip(part, [0, *ends[:-1]], ends, strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
+        young = self.memo.young()
         cut: list[list[str] | None] = []
+        chunks: set[str] = set()
         for text in texts:
             whole = "\x00" in text or self.gaps.search(text) or any(s in text for s in self.special)
             cut.append(None if whole else text.replace(" ", "\x00 ").split("\x00"))
-        new = set()
-        for chunks in cut:
-            if chunks is not None:
-                new.update(chunks)
-        new = list(new.difference(self.memo))
-        for start in range(0, len(new), 10_000):
-            part = new[start : start + 10_000]
-            self.memo.update(zip(part, self._encode(part), strict=True))
-        of = self.memo.__getitem__
+            chunks.update(cut[-1] or ())
+        self._learn(chunks, young)
+        of = young.__getitem__
         return [
-            self._encode([text])[0] if chunks is None else b"".join(map(of, chunks))
-            for text, chunks in zip(texts, cut, strict=True)
+            self._encode([text])[0] if parts is None else b"".join(map(of, parts))
+            for text, parts in zip(texts, cut, strict=True)
         ]
