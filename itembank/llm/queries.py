@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from itembank.llm.common import table
 from itembank.llm.fingerprints import edit_report
 from itembank.llm.pieces import piece_report
+from itembank.llm.quality import classify
 from itembank.llm.secret_scan import secret_report
 from itembank.llm.token_counts import token_counts
 from itembank.llm.token_files import token_digest
@@ -53,3 +54,8 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_pieces")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return piece_report(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op10_quality")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
