@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from itembank.llm.common import table
 from itembank.llm.fingerprints import edit_report
+from itembank.llm.licenses import license_report
 from itembank.llm.pieces import piece_report
 from itembank.llm.quality import classify
 from itembank.llm.secret_scan import secret_report
@@ -59,3 +60,8 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_quality")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return classify(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query("op9_licenses")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return license_report(table(spark, sf, "documents"))
