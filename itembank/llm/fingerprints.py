@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from itembank.llm.common import documents
+from itembank.llm.common import documents, slices
 
 SKETCH = 64
 FIRST_LEVEL = 2
@@ -133,7 +133,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars and fingerprint of every row; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = batch.column("text").to_pylist()
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "n_chars": pa.array([len(t) for t in texts], pa.int64()),
@@ -192,7 +192,7 @@ def edit_report(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the last row so far, without its successor
-        for batch in batches:
+        for batch in slices(batches):
             rows = list(zip(*(batch.column(c).to_pylist() for c in ("slice", "extra", "doc_id", "text")), strict=True))
             own = _by_size([r[3] for r in rows])
             rows = ([held] if held else []) + [(*r, s) for r, s in zip(rows, own, strict=True)]

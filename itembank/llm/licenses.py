@@ -225,16 +225,17 @@ def license_scan(docs: DataFrame) -> DataFrame:
     Null and empty texts have no words and no detections; repeated rows and null ids are
     scanned like others. Only column expressions, nothing is shuffled.
     """
-    text = F.col("text")
+    text, low = F.col("text"), F.col("low")
     ascii_low = F.translate(text, UPPER, LOWER)
-    low = F.lower(text)
-    words = F.when(F.contains(low, F.lit("license")), F.regexp_extract_all(ascii_low, F.lit(WORD), F.lit(0)))
-    return documents(docs).select(
+    # staged, so that words and detections are made once however often the lambdas look at them
+    staged = documents(docs).withColumn("low", F.lower(text)).select(
         "doc_id",
         F.regexp_count(text, F.lit(CASED_WORD)).cast("long").alias("n_words"),
-        F.when(words.isNotNull(), phrase_places(words)).otherwise(F.array().cast("array<struct<start:int,label:string>>")).alias("places"),
-        unsuppressed(detections(low)).alias("found"),
+        F.when(F.contains(low, F.lit("license")), F.regexp_extract_all(ascii_low, F.lit(WORD), F.lit(0)))
+        .otherwise(F.array().cast("array<string>")).alias("words"),
+        detections(low).alias("raw"),
     )
+    return staged.select("doc_id", "n_words", phrase_places(F.col("words")).alias("places"), unsuppressed(F.col("raw")).alias("found"))
 
 
 def license_report(docs: DataFrame) -> DataFrame:

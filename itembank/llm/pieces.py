@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itembank.llm.common import documents, worker_memo
+from itembank.llm.common import documents, slices, worker_memo
 from itembank.llm.tokenizer_files import Memo
 
 SPACE_MARK = "▁"
@@ -166,7 +166,7 @@ def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pieces(model_path)
-        for batch in batches:
+        for batch in slices(batches):
             rows = model.encode(batch.column("text").to_pylist())
             values = np.frombuffer(b"".join(rows), model.kind).astype(np.int32)
             sizes = np.array([len(r) for r in rows], np.int64) // np.dtype(model.kind).itemsize

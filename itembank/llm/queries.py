@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from itembank.llm.common import table
+from itembank.llm.decontamination import CONTAINED_SQL, contained_items
 from itembank.llm.fingerprints import edit_report
 from itembank.llm.licenses import license_report
 from itembank.llm.pieces import piece_report
@@ -65,3 +66,8 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_licenses")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return license_report(table(spark, sf, "documents"))
+
+
+@query("op4_decontamination", CONTAINED_SQL)
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return contained_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itembank.llm.automata import Dfa, compile_rules
-from itembank.llm.common import documents
+from itembank.llm.common import documents, slices
 
 
 @dataclass(frozen=True)
@@ -132,7 +132,7 @@ def secret_spans(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in slices(batches):
             rows = [
                 [{"kind": rules[r].kind, "start": s, "end": e} for s, e, r in scan.spans(text)]
                 for text in batch.column("text").to_pylist()

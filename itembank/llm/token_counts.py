@@ -9,7 +9,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itembank.llm.common import documents, worker_memo
+from itembank.llm.common import documents, slices, worker_memo
 from itembank.llm.tokenizer_files import Memo, load
 
 #: Fixed value: the word pattern of the tokenizer file.
@@ -80,7 +80,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter(tokenizer_path)
-        for batch in batches:
+        for batch in slices(batches):
             counts = counter.count(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "n_bytes": batch.column("n_bytes"), "n_tokens": pa.array(counts, pa.int64()),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from itembank.llm.common import documents
+from itembank.llm.common import documents, slices
 from itembank.llm.tokenizer_files import ByteLevelEncoder, load
 from itembank.session import materialize, scratch_path
 
@@ -62,7 +62,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, root: str, end_id: int) -
             store.open_output_stream(f"{folder}/{name}.len") as lengths,
             store.open_output_stream(f"{folder}/{name}.doc") as keys,
         ):
-            for batch in batches:
+            for batch in slices(batches):
                 rows = [x + end for x in encoder.encode(batch.column("text").to_pylist())]
                 sizes = np.array([len(x) // width for x in rows], "<i8")
                 ids.write(b"".join(rows))
