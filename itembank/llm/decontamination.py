@@ -35,7 +35,7 @@ def hashes_of(each: Column) -> Column:
     n = F.size(each)
     several = F.transform(F.sequence(F.lit(0), n - WORDS), lambda i: F.xxhash64(*[F.get(each, i + k) for k in range(WORDS)]))
     few = F.when(n > 0, F.array(F.xxhash64(F.array_join(F.transform(each, lambda h: h.cast("string")), " "))))
-    return F.array_sort(F.array_distinct(F.when(n >= WORDS, several).otherwise(F.coalesce(few, F.array().cast("array<bigint>")))))
+    return F.sort_array(F.array_distinct(F.when(n >= WORDS, several).otherwise(F.coalesce(few, F.array().cast("array<bigint>")))))
 
 
 def _hashed(rows: DataFrame, *keys: str) -> DataFrame:
@@ -46,7 +46,7 @@ def _hashed(rows: DataFrame, *keys: str) -> DataFrame:
 
 def size_class(n: Column) -> Column:
     """The partition of a document: class c has 2^(c-1) to 2^c - 1 shingles."""
-    return F.when(n > 0, F.floor(F.log2(n)).cast("int") + 1).otherwise(0)
+    return F.coalesce(F.when(n > 0, F.floor(F.log2(n)).cast("int") + 1), F.lit(0))
 
 
 def _bin(h: Column, bits: Column) -> Column:
@@ -92,9 +92,9 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = CONTAINMEN
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
     texts = items.select(F.col("item_id").cast("long").alias("item_id"), whole_text().alias("text"))
-    grams = texts.select("item_id", "text", grams_of(words_of(F.col("text"))).alias("grams"))
-    known = _hashed(grams, "item_id", "grams").withColumn("n_item", F.size("grams")).where("n_item > 0")
-    known = materialize(known, "items")
+    split = texts.select("item_id", "text", words_of(F.col("text")).alias("words"))
+    grams = split.select("item_id", "text", grams_of(F.col("words")).alias("grams"))
+    known = materialize(_hashed(grams, "item_id", "grams").withColumn("n_item", F.size("grams")), "items").where("n_item > 0")
     index = materialize(indexed(known), "item-index")
 
     hashed = _hashed(docs, "doc_id").withColumn("class", size_class(F.size("hashes")))
@@ -112,8 +112,9 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = CONTAINMEN
         "doc_id", "item_id", "n_item", "grams", words_of(F.col("text")).alias("words")
     )
     counted = held.select("doc_id", "item_id", "n_item", F.size(F.array_intersect("grams", grams_of(F.col("words")))).alias("n_found"))
-    found = counted.where(F.col("n_found") * 100 >= F.col("n_item") * percent)
-    return found.groupBy("doc_id", "item_id").agg(F.max("n_found").cast("long").alias("n_found"), F.max("n_item").cast("long").alias("n_item"))
+    # the threshold comes after the aggregation: a filter before it would be pushed below and count again
+    found = counted.groupBy("doc_id", "item_id").agg(F.max("n_found").cast("long").alias("n_found"), F.max("n_item").cast("long").alias("n_item"))
+    return found.where(F.col("n_found") * 100 >= F.col("n_item") * percent)
 
 
 def _asked(candidates: DataFrame, known: DataFrame) -> DataFrame:
@@ -131,12 +132,18 @@ def clean(docs: DataFrame, items: DataFrame, percent: int = CONTAINMENT) -> Data
 
 #: The exact answer by counting all shingles.
 CONTAINED_SQL = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), w -> w <> '') AS w FROM documents),
-b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]+'), w -> w <> '') AS w FROM benchmark),
-dg AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]
-  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
-bg AS (SELECT DISTINCT item_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]
-  WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM b),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id AS id, lower(coalesce(text, '')) AS t FROM documents),
+b AS (SELECT row_number() OVER () AS r, item_id AS id, lower(coalesce(text, '')) AS t FROM benchmark),
+dw AS (SELECT r, id, unnest(w) AS w, generate_subscripts(w, 1) AS p, len(w) AS n FROM
+  (SELECT r, id, list_filter(regexp_split_to_array(t, '[ \t\n\x0B\f\r]+'), x -> x <> '') AS w FROM d)),
+bw AS (SELECT r, id, unnest(w) AS w, generate_subscripts(w, 1) AS p, len(w) AS n FROM
+  (SELECT r, id, list_filter(regexp_split_to_array(t, '[ \t\n\x0B\f\r]+'), x -> x <> '') AS w FROM b)),
+dg AS (SELECT DISTINCT id AS doc_id, CASE WHEN n >= 5 THEN concat_ws(' ', w, lead(w, 1) OVER v, lead(w, 2) OVER v, lead(w, 3) OVER v, lead(w, 4) OVER v)
+  ELSE string_agg(w, ' ') OVER (PARTITION BY r ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS g
+  FROM dw WINDOW v AS (PARTITION BY r ORDER BY p) QUALIFY p <= greatest(n - 4, 1)),
+bg AS (SELECT DISTINCT id AS item_id, CASE WHEN n >= 5 THEN concat_ws(' ', w, lead(w, 1) OVER v, lead(w, 2) OVER v, lead(w, 3) OVER v, lead(w, 4) OVER v)
+  ELSE string_agg(w, ' ') OVER (PARTITION BY r ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS g
+  FROM bw WINDOW v AS (PARTITION BY r ORDER BY p) QUALIFY p <= greatest(n - 4, 1)),
 n AS (SELECT item_id, count(*) AS n_item FROM bg GROUP BY 1)
 SELECT doc_id, bg.item_id, count(*) AS n_found, any_value(n_item) AS n_item
 FROM dg JOIN bg USING (g) JOIN n ON n.item_id = bg.item_id
