@@ -135,9 +135,9 @@ CONTAINED_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id AS id, lower(coalesce(text, '')) AS t FROM documents),
 b AS (SELECT row_number() OVER () AS r, item_id AS id, lower(coalesce(text, '')) AS t FROM benchmark),
 dw AS (SELECT r, id, unnest(w) AS w, generate_subscripts(w, 1) AS p, len(w) AS n FROM
-  (SELECT r, id, list_filter(regexp_split_to_array(t, '[ \t\n\x0B\f\r]+'), x -> x <> '') AS w FROM d)),
+  (SELECT r, id, list_filter(regexp_split_to_array(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM d)),
 bw AS (SELECT r, id, unnest(w) AS w, generate_subscripts(w, 1) AS p, len(w) AS n FROM
-  (SELECT r, id, list_filter(regexp_split_to_array(t, '[ \t\n\x0B\f\r]+'), x -> x <> '') AS w FROM b)),
+  (SELECT r, id, list_filter(regexp_split_to_array(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM b)),
 dg AS (SELECT DISTINCT id AS doc_id, CASE WHEN n >= 5 THEN concat_ws(' ', w, lead(w, 1) OVER v, lead(w, 2) OVER v, lead(w, 3) OVER v, lead(w, 4) OVER v)
   ELSE string_agg(w, ' ') OVER (PARTITION BY r ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS g
   FROM dw WINDOW v AS (PARTITION BY r ORDER BY p) QUALIFY p <= greatest(n - 4, 1)),
