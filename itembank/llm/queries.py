@@ -11,6 +11,7 @@ from itembank.llm.common import table
 from itembank.llm.decontamination import CONTAINED_SQL, contained_items
 from itembank.llm.fingerprints import edit_report
 from itembank.llm.licenses import license_report
+from itembank.llm.ngram_join import similar_components
 from itembank.llm.pieces import piece_report
 from itembank.llm.quality import classify
 from itembank.llm.secret_scan import secret_report
@@ -71,3 +72,8 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_decontamination", CONTAINED_SQL)
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     return contained_items(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query("op2_ngram_join")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    return similar_components(table(spark, sf, "documents"))
