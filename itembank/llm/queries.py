@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from itembank.llm.common import table
 from itembank.llm.decontamination import CONTAINED_SQL, contained_items
+from itembank.llm.extraction import extract
 from itembank.llm.fingerprints import edit_report
 from itembank.llm.licenses import license_report
 from itembank.llm.ngram_join import similar_components
@@ -77,3 +78,8 @@ def op4(spark: SparkSession, sf: str) -> DataFrame:
 @query("op2_ngram_join")
 def op2(spark: SparkSession, sf: str) -> DataFrame:
     return similar_components(table(spark, sf, "documents"))
+
+
+@query("op1_extraction")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return extract(table(spark, sf, "pages"))
