@@ -7,14 +7,21 @@ single shingles: two linked documents share a shingle among the first |A| - ceil
 each under one global order (rare ones first), and a document goes to the region of each of
 these. Within regions the join is the metric one:
 
-1. Of a region, ordered by size, the first document is the pivot of those that come within the
-   length window |A| <= 1.25 |pivot|; the next beyond it is the next pivot. Pivots are linear in
-   the region, and linked copies, also thousands, come together through them.
+1. The pivot of a region is its most central document, the one that shares most over all its
+   regions; an original so becomes the pivot of its copies. Pairs of documents with their
+   pivot are linear in the region, and groups of copies come together through them.
 2. Regions whose documents are all connected by now need nothing more.
-3. Small regions that are left compare the documents of different components. Large ones take
-   pivots, put each document into the cell of its nearest pivot and, by the triangle inequality,
-   into each cell with d(x, p) <= d(x, nearest) + 2 * EPS; documents farther than 1 - 2 * EPS
-   from all pivots form a cell of their own. Cells are regions again, until none is left.
+3. Small regions that are left compare the documents of different components.
+4. Large regions become Voronoi cells of their pivots, and a document leaves them if it is in too
+   few for a link that shares no small region. A cell is joined anew on the differences of its
+   documents to the pivot: by the triangle inequality two documents of different components
+   link only if they have differences in common, more the farther they are from the pivot, and if
+   their distances to it are within a window. So the regions of single differences, the rare ones
+   of each document first, hold every link of the cell.
+
+Pairs are verified by counting only where they can link at all: sizes must be within a factor of
+1.25, and with c common shingles in both prefixes the overlap is at most c plus what the larger
+set has after its prefix.
 """
 
 from __future__ import annotations
@@ -24,7 +31,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from itembank.llm.common import documents, slices
@@ -33,12 +39,11 @@ from itembank.session import materialize
 
 #: Two documents link when 100 * |A and B| >= PERCENT * |A or B|.
 PERCENT = 80
-EPS = 1 - PERCENT / 100
 #: Shingles in many documents come last in the global order. At most HEAVY of them are told to the
 #: tasks (16 bytes each); any order is exact, this one keeps regions small.
 HEAVY, HEAVY_LEAST, HEAVY_SEEN = 1 << 18, 16, 3
-#: Regions up to this size compare their documents directly, larger ones through PIVOTS pivots.
-SMALL_REGION, PIVOTS = 64, 8
+#: Regions up to this size compare their documents directly, larger ones through their pivots.
+SMALL_REGION = 128
 
 
 def _need(n):
@@ -127,46 +132,62 @@ def prefix_rows(docs: DataFrame, heavy: np.ndarray, seen: np.ndarray) -> DataFra
 
 
 def regions(prefixes: DataFrame) -> DataFrame:
-    """(s, id, n, pivot) of regions with two sets or more; a pivot's row has itself.
+    """(s, id, n) of regions with two sets or more, each set once.
 
-    Rows are sorted by region, size and id, so a task streams over them and holds one row of
-    the open region.
+    Rows are sorted by region and id, so a task streams over them and holds one row of the
+    open region.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None  # (s, id, n, pivot, pivot's n, whether it was given out)
+        last: tuple[int, int, int] | None = None  # of the open region, and whether it was given out
+        given = False
         for batch in batches:
             s, i, n = (batch.column(c).to_numpy() for c in ("s", "id", "n"))
+            if last is not None:
+                s, i, n = np.append(last[0], s), np.append(last[1], i), np.append(np.int32(last[2]), n)
             keep = np.append(True, (s[1:] != s[:-1]) | (i[1:] != i[:-1]))
-            if last is not None and s[0] == last[0] and i[0] == last[1]:
-                keep[0] = False
             s, i, n = s[keep], i[keep], n[keep]
-            if not len(s):
-                continue
-            # only rows that share their region with a neighbour, or with the row before the batch, are walked
             same = s[1:] == s[:-1]
-            joined = np.append(False, same) | np.append(same, False)
-            joined[0] |= last is not None and s[0] == last[0]
-            joined[-1] = True
-            out: list[tuple[int, int, int, int]] = []
-            for a, b, c in zip(s[joined].tolist(), i[joined].tolist(), n[joined].tolist(), strict=True):
-                if last is None or last[0] != a:
-                    last = (a, b, c, b, c, False)
-                    continue
-                if not last[5]:
-                    out.append(last[:4])
-                pivot = (last[3], last[4]) if PERCENT * c <= 100 * last[4] else (b, c)
-                last = (a, b, c, *pivot, True)
-                out.append(last[:4])
-            if out:
-                cols = list(zip(*out, strict=True))
-                yield pa.RecordBatch.from_pydict({
-                    "s": pa.array(cols[0], pa.int64()), "id": pa.array(cols[1], pa.int64()),
-                    "n": pa.array(cols[2], pa.int32()), "pivot": pa.array(cols[3], pa.int64()),
-                })
-
-    dealt = prefixes.repartition("s").sortWithinPartitions("s", "n", "id")
-    return materialize(dealt.mapInArrow(run, "s long, id long, n int, pivot long"), "regions")
+            before, after = np.append(False, same), np.append(same, False)
+            out = before | after
+            out[0] &= not given  # the row held from the last batch may be out already
+            given = bool(before[-1]) or (given and len(s) == 1)
+            last = (int(s[-1]), int(i[-1]), int(n[-1]))
+            if out.any():
+                yield pa.RecordBatch.from_pydict({"s": s[out], "id": i[out], "n": n[out]})
+
+    dealt = prefixes.repartition("s").sortWithinPartitions("s", "id")
+    return materialize(dealt.mapInArrow(run, "s long, id long, n int"), "regions")
+
+
+def central_pairs(region: DataFrame) -> DataFrame:
+    """(a, b): sets with the pivot of their region, where they can link."""
+    sized = region.join(region.groupBy("s").agg(F.count(F.lit(1)).alias("m")), "s")
+    score = sized.groupBy("id").agg(F.sum("m").alias("score"))
+    scored = region.join(score, "id")
+    pivots = scored.groupBy("s").agg(F.max(F.struct("score", "id", "n")).alias("p"))
+    met = region.join(pivots, "s").where(F.col("id") != F.col("p.id"))
+    return _promising(met.select(F.col("id").alias("x"), F.col("n").alias("p"), F.col("p.id").alias("y"), F.col("p.n").alias("q")), F.lit(0))
+
+
+def _promising(met: DataFrame, unseen) -> DataFrame:
+    """Distinct (a, b) of rows (x, p, y, q), a row for each common shingle of two sets of p and q, that can link.
+
+    unseen bounds the common shingles in prefixes that have no row.
+    """
+    pair = met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(
+        F.count(F.lit(1)).alias("c"), F.max("p").alias("p"), F.max("q").alias("q"), F.max(unseen).alias("unseen")
+    )
+    p, q = F.col("p"), F.col("q")
+    rest = F.ceil(F.greatest(p, q) * PERCENT / 100) - 1  # what the larger set has after its prefix
+    # 100 * both >= PERCENT * (p + q - both)
+    enough = (F.col("c") + F.col("unseen") + rest) * (100 + PERCENT) >= (p + q) * PERCENT
+    return pair.where(_window(p, q) & enough).select("a", "b")
+
+
+def _window(p, q):
+    """Sizes of sets that can link."""
+    return (PERCENT * p <= 100 * q) & (PERCENT * q <= 100 * p)
 
 
 def candidate_sets(docs: DataFrame, first: DataFrame, ids: DataFrame) -> DataFrame:
@@ -234,37 +255,103 @@ def _mixed(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(several.select("s", "m"), "s")
 
 
-def _direct(rows: DataFrame) -> DataFrame:
-    """Pairs of different components within the length window, from regions of at most SMALL_REGION rows."""
-    x = rows.select("s", F.col("id").alias("a"), F.col("n").alias("p"), F.col("root").alias("q"))
-    y = rows.select("s", F.col("id").alias("b"), F.col("n").alias("u"), F.col("root").alias("v"))
-    window = (F.col("a") < F.col("b")) & (F.col("q") != F.col("v")) & (PERCENT * F.col("p") <= 100 * F.col("u")) & (PERCENT * F.col("u") <= 100 * F.col("p"))
-    return x.join(y, "s").where(window).select("a", "b").distinct()
+def _direct(small: DataFrame, many: DataFrame) -> DataFrame:
+    """Pairs of different components that can link, from regions of at most SMALL_REGION rows.
+
+    A pair may also share large regions; of those that either set is in (`many`) the fewer bound how many.
+    """
+    rows = small.join(many, "id", "left").select("s", "id", "n", "root", F.coalesce("large", F.lit(0)).alias("large"))
+    x, y = rows.alias("x"), rows.alias("y")
+    cond = (F.col("x.s") == F.col("y.s")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & _window(F.col("x.n"), F.col("y.n"))
+    met = x.join(y, cond).select(
+        F.col("x.id").alias("x"), F.col("x.n").alias("p"), F.col("y.id").alias("y"), F.col("y.n").alias("q"), F.least("x.large", "y.large").alias("large")
+    )
+    return _promising(met, F.col("large"))
+
 
+def _trimmed(large: DataFrame) -> DataFrame:
+    """Rows of large regions without sets that no link there can concern alone.
+
+    Two sets that share no small region have as many common prefix shingles as they share large
+    ones. A link of sets of p and q needs more than 4/9 (p + q) - 0.8 max(p, q) of them, so a set
+    that is in no more large regions than that, for all sizes q it meets, is found in small ones.
+    """
+    sizes = large.groupBy("s").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    p = F.col("n")
+    lo, hi = F.greatest(F.col("lo"), p * PERCENT / 100), F.least(F.col("hi"), p * 100 / PERCENT)
 
-def _through_pivots(rows: DataFrame, salt: int) -> DataFrame:
-    """(s, id, n, root, pivot) of every other row of a large region with each of its pivots, the least under a salted hash."""
-    rank = F.row_number().over(W.partitionBy("s").orderBy(F.xxhash64("id", F.lit(salt)), "id"))
-    pivots = rows.withColumn("rank", rank).where(F.col("rank") <= PIVOTS).select("s", F.col("id").alias("pivot"), F.col("n").alias("pn"), F.col("root").alias("pr"))
-    return rows.join(pivots, "s").where(F.col("id") != F.col("pivot"))
+    def least(q):
+        return PERCENT * (p + q) / (100 + PERCENT) - PERCENT * F.greatest(p, q) / 100
 
+    needs = large.join(sizes, "s").groupBy("id").agg(F.count(F.lit(1)).alias("large"), F.min(F.least(least(lo), least(hi))).alias("more_than"))
+    return large.join(needs.where(F.col("large") > F.col("more_than") - 1e-9).select("id"), "id", "left_semi")
 
-def _cells(met: DataFrame, found: DataFrame) -> DataFrame:
-    """The next regions: Voronoi cells with their windows, and one of the documents far from all pivots.
 
-    A pivot has met its whole region and leaves it.
+def cells(large: DataFrame) -> DataFrame:
+    """(pivot, id, n) of the documents that share a large region with its most central document."""
+    score = large.groupBy("id").agg(F.count(F.lit(1)).alias("score"))
+    pivots = large.join(score, "id").groupBy("s").agg(F.max(F.struct("score", "id")).alias("p"))
+    met = large.join(pivots, "s").select(F.col("p.id").alias("pivot"), "id", "n")
+    return met.where("id <> pivot").groupBy("pivot", "id").agg(F.max("n").alias("n"))
+
+
+def _differences(cell: DataFrame, sets: DataFrame) -> DataFrame:
+    """cell with the shingles that a document and its pivot do not share."""
+
+    @F.pandas_udf("array<bigint>")
+    def unshared(x, y):
+        import pandas as pd
+
+        return pd.Series([np.setxor1d(np.frombuffer(p, np.int64), np.frombuffer(q, np.int64), assume_unique=True) for p, q in zip(x, y, strict=True)])
+
+    x = sets.select("id", F.col("hashes").alias("x"))
+    y = sets.select(F.col("id").alias("pivot"), F.col("hashes").alias("y"))
+    return cell.join(x, "id").join(y, "pivot").select(*cell.columns, unshared("x", "y").alias("diff"))
+
+
+def within_cells(cell: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): pairs of different components of a cell that can link, pivots apart.
+
+    Sets x and y of sizes n and n' link only if |x ^ y| <= (n + n') / 9, and with their differences
+    X and Y to the pivot |x ^ y| = |X| + |Y| - 2 |X & Y|. One of two documents of different
+    components is not linked to the pivot, so its difference is above (its n + the pivot's) / 9,
+    and they have at least t = (|X| + |Y| - (n + n') / 9) / 2 > 0 differences in common. Then the
+    first |X| - t + 1 of X and as many of Y, in one order, have one in common. t is bounded from
+    below by the least difference of those a document has to meet.
     """
-    a, b = F.least("id", "pivot"), F.greatest("id", "pivot")
-    far = met.withColumn("a", a).withColumn("b", b).join(found.select("a", "b", "d"), ["a", "b"], "left").withColumn("d", F.coalesce("d", F.lit(1.0)))
-    gone = met.select("s", F.col("pivot").alias("id")).distinct()
-    far = far.join(gone, ["s", "id"], "left_anti")
-    nearest = F.min("d").over(W.partitionBy("s", "id"))
-    slack = 1e-9
-    near = far.withColumn("nearest", nearest)
-    inside = near.where((F.col("d") <= F.col("nearest") + 2 * EPS + slack) & (F.col("d") <= 1 - EPS + slack))
-    cells = inside.select(F.xxhash64("s", "pivot").alias("s"), "id", "n")
-    outside = near.where(F.col("nearest") > 1 - 2 * EPS - slack).select(F.xxhash64("s", F.lit(0)).alias("s"), "id", "n").distinct()
-    return cells.unionByName(outside)
+    top = roots.select(F.col("id").alias("pivot"), F.col("root").alias("pivot_root"))
+    rows = cell.join(roots, "id", "left").join(top, "pivot", "left").select(
+        "pivot", "id", "n", F.coalesce("root", "id").alias("root"), (F.coalesce("root", "id") == F.coalesce("pivot_root", "pivot")).alias("linked")
+    )
+    rows = materialize(_differences(rows, sets).withColumn("size", F.size("diff")), "differences")
+    span = rows.groupBy("pivot").agg(F.max("n").alias("most"), F.min(F.when(~F.col("linked"), F.col("size"))).alias("far")).where("far IS NOT NULL")
+    rows = rows.join(span, "pivot")
+    each = rows.select("pivot", "id", F.explode("diff").alias("token"))
+    seen = each.groupBy("pivot", "token").agg(F.count(F.lit(1)).alias("seen"))
+    ranked = F.transform(F.array_sort(F.collect_list(F.struct("seen", "token"))), lambda t: t["token"])
+    order = each.join(seen, ["pivot", "token"]).groupBy("pivot", "id").agg(ranked.alias("tokens"))
+    allowed = (F.col("n") + F.col("most")) * (100 - PERCENT) / (100 + PERCENT)
+
+    def prefix(least):
+        t = F.greatest(F.ceil((F.col("size") + least - allowed) / 2 - 1e-9), F.lit(1))
+        return F.slice("tokens", F.lit(1), F.greatest(F.col("size") - t + 1, F.lit(0)).cast("int"))
+
+    rows = rows.drop("diff").join(order, ["pivot", "id"]).withColumn("short", prefix(F.col("far"))).withColumn("long", prefix(F.lit(1)))
+    rows = materialize(rows.drop("tokens"), "prefixes")
+
+    def side(name: str, own: DataFrame, tokens: str) -> DataFrame:
+        return own.select("pivot", F.explode(tokens).alias("token"), "id", "n", "root", "size").alias(name)
+
+    def met(x: DataFrame, y: DataFrame, more) -> DataFrame:
+        share = (F.col("x.pivot") == F.col("y.pivot")) & (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root"))
+        near = F.abs(F.col("x.size") - F.col("y.size")) * (100 + PERCENT) <= (F.col("x.n") + F.col("y.n")) * (100 - PERCENT)
+        found = x.join(y, share & near & _window(F.col("x.n"), F.col("y.n")) & more)
+        return found.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+    apart, together = rows.where(~F.col("linked")), rows.where("linked")
+    mixed = met(side("x", apart, "long"), side("y", together, "short"), F.lit(True))
+    alone = met(side("x", apart, "short"), side("y", apart, "short"), F.col("x.id") < F.col("y.id"))
+    return mixed.unionByName(alone).distinct()
 
 
 def similar_components(docs: DataFrame) -> DataFrame:
@@ -281,23 +368,20 @@ def similar_components(docs: DataFrame) -> DataFrame:
     region = regions(prefix_rows(docs, *_heavy(first)))
     sets = candidate_sets(docs, first, region.select("id").distinct())
 
-    stars = region.where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    tested = distances(stars, sets)
-    links = tested.where("linked").select("a", "b")
-    roots = components(links)
-    active, salt = materialize(_mixed(region.select("s", "id", "n"), roots), "mixed"), 0
-    while not active.isEmpty():
-        small, large = active.where(F.col("m") <= SMALL_REGION), active.where(F.col("m") > SMALL_REGION)
-        met = materialize(_through_pivots(large, salt), "met")
-        window = (F.col("root") != F.col("pr")) & (PERCENT * F.col("n") <= 100 * F.col("pn")) & (PERCENT * F.col("pn") <= 100 * F.col("n"))
-        # a pivot's distances place documents in cells, so they are needed to its own component too
-        asked = met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
-        pairs = _direct(small).unionByName(asked).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        tested = materialize(tested.unionByName(distances(pairs, sets)), "tested")
-        links = tested.where("linked").select("a", "b")
-        roots = components(links)
-        active, salt = materialize(_mixed(_cells(met, tested), roots), "mixed"), salt + 1
-
+    tested = distances(central_pairs(region), sets)
+    roots = components(tested.where("linked").select("a", "b"))
+    active = materialize(_mixed(region, roots), "mixed")
+    large = active.where(F.col("m") > SMALL_REGION)
+    many = materialize(large.groupBy("id").agg(F.count(F.lit(1)).alias("large")), "many")
+    cell = materialize(cells(_trimmed(large)), "cells")
+    to_pivots = cell.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
+    pairs = _direct(active.where(F.col("m") <= SMALL_REGION), many).unionByName(to_pivots).distinct()
+    tested = tested.unionByName(distances(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets))
+    roots = components(tested.where("linked").select("a", "b"))
+    if not cell.isEmpty():
+        pairs = within_cells(cell, sets, roots).join(tested.select("a", "b"), ["a", "b"], "left_anti")
+        tested = tested.unionByName(distances(pairs, sets))
+        roots = components(tested.where("linked").select("a", "b"))
     return _numbered(rows, roots, sets)
 
 
