@@ -354,6 +354,10 @@ def within_cells(cell: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFram
     return mixed.unionByName(alone).distinct()
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    return materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ids")
+
+
 def similar_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
@@ -366,9 +370,10 @@ def similar_components(docs: DataFrame) -> DataFrame:
     first = first_pass(docs)
     rows = first.where("key IS NOT NULL").select("doc_id", "n", "key")
     region = regions(prefix_rows(docs, *_heavy(first)))
-    sets = candidate_sets(docs, first, region.select("id").distinct())
 
-    tested = distances(central_pairs(region), sets)
+    pairs = materialize(central_pairs(region), "central-pairs")
+    sets = candidate_sets(docs, first, _ids(pairs))
+    tested = distances(pairs, sets)
     roots = components(tested.where("linked").select("a", "b"))
     active = materialize(_mixed(region, roots), "mixed")
     large = active.where(F.col("m") > SMALL_REGION)
@@ -376,7 +381,10 @@ def similar_components(docs: DataFrame) -> DataFrame:
     cell = materialize(cells(_trimmed(large)), "cells")
     to_pivots = cell.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
     pairs = _direct(active.where(F.col("m") <= SMALL_REGION), many).unionByName(to_pivots).distinct()
-    tested = tested.unionByName(distances(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), sets))
+    pairs = materialize(pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+    more = _ids(pairs.unionByName(to_pivots)).join(sets.select("id").distinct(), "id", "left_anti")
+    sets = sets.unionByName(candidate_sets(docs, first, more))
+    tested = tested.unionByName(distances(pairs, sets))
     roots = components(tested.where("linked").select("a", "b"))
     if not cell.isEmpty():
         pairs = within_cells(cell, sets, roots).join(tested.select("a", "b"), ["a", "b"], "left_anti")
