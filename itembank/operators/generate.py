@@ -9,6 +9,7 @@ wider one, up to the whole ring, so nothing is cut off and no item meets the who
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -199,9 +200,9 @@ def _word_hits(text: str, words: list[str]) -> str:
     """Array of (term, index) of every occurrence of every word; words may overlap each other."""
     if not words:
         return "cast(array() as array<struct<term:string,index:int>>)"
-    any_word = "|".join(words)
+    any_word = "|".join(map(re.escape, words))
     return f"""if({text} rlike {_s(any_word)}, flatten(transform(filter({_list(words)}, d -> contains({text}, d)),
-        d -> transform(array(split({text}, d)), ps -> transform(sequence(1, size(ps) - 1),
+        d -> transform(array(split({text}, {_s(chr(92) + "Q")} || d || {_s(chr(92) + "E")})), ps -> transform(sequence(1, size(ps) - 1),
             k -> named_struct('term', d, 'index', cast(aggregate(slice(ps, 1, k), 0, (n, q) -> n + length(q)) + (k - 1) * length(d) as int))))[0])),
         cast(array() as array<struct<term:string,index:int>>))"""
 

@@ -27,7 +27,8 @@ def running_totals(
 ) -> DataFrame:
     """Add inclusive running sums per key, and whole-key totals, in the given order.
 
-    ``chunk`` must be non-null and must sort ascending consistently with ``order``.
+    ``chunk`` must sort ascending consistently with ``order``; null keys and chunks are groups of
+    their own, nulls first.
     """
     totals = totals or {}
     keys = list(keys)
@@ -49,7 +50,7 @@ def running_totals(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    joined = rows.join(offsets, [*keys, _CHUNK])
+    joined = join_null_safe(rows, offsets, [*keys, _CHUNK])
     return joined.select(
         *[c for c in df.columns],
         *[(F.sum(e).over(within) + F.col(f"__o_{n}")).alias(n) for n, e in sums.items()],
@@ -57,6 +58,15 @@ def running_totals(
     )
 
 
+def join_null_safe(rows: DataFrame, other: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """rows with the columns of other; null keys meet null keys, so no row is lost."""
+    renamed = other.select(*[F.col(k).alias(f"__k_{k}") for k in keys], *[c for c in other.columns if c not in keys])
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    return rows.join(renamed, on, how).drop(*[f"__k_{k}" for k in keys])
+
+
 def ordinal(
     df: DataFrame,
     keys: Sequence[str],

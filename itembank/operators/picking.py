@@ -88,9 +88,8 @@ def pick_questions(
         questions = questions.filter(F.col("qtype") == qtype)
     if mode in ("wrong", "due"):
         records = due_records(wrong, today) if mode == "due" else wrong
-        rows = records.select("bank", "qid", "stage", "next_review", "wrong_count", "added_at").join(
-            questions, ["bank", "qid"]
-        )
+        # records stay when their question is gone after a re-import
+        rows = records.select("bank", "qid", "stage", "next_review", "wrong_count", "added_at").join(questions, ["bank", "qid"], "left")
         chunk, order = _due_keys(today) if mode == "due" else _retry_keys()
     elif mode == "favorite":
         rows = questions.join(favorites.select("bank", "qid"), ["bank", "qid"], "left_semi")

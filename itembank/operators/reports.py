@@ -145,7 +145,7 @@ def type_rollup(questions: DataFrame) -> DataFrame:
 
 def group_by_type(records: DataFrame) -> DataFrame:
     """Record counts per type; a type outside the five counts as single choice."""
-    kind = F.when(F.col("qtype").isin(QUESTION_TYPES), F.col("qtype")).otherwise(SINGLE)
+    kind = F.when(F.col("qtype").isin(*QUESTION_TYPES), F.col("qtype")).otherwise(F.lit(SINGLE))
     return records.withColumn("qtype", kind).groupBy("bank", "qtype").agg(F.count("*").alias("records"))
 
 

@@ -177,9 +177,7 @@ def fill_explanations(table: DataFrame, texts: DataFrame) -> DataFrame:
 
 def book_sets(book: DataFrame, favorites: DataFrame) -> DataFrame:
     """Keys in both books, only in the mistakes, only in the favourites."""
-    w, f = book.select("bank", "qid"), favorites.select("bank", "qid")
-    return (
-        w.intersect(f).withColumn("side", F.lit("both"))
-        .unionByName(w.exceptAll(f).withColumn("side", F.lit("wrong_only")))
-        .unionByName(f.exceptAll(w).withColumn("side", F.lit("favorite_only")))
-    )
+    w = book.select("bank", "qid", F.lit(True).alias("in_book")).distinct()
+    f = favorites.select("bank", "qid", F.lit(True).alias("is_favorite")).distinct()
+    side = F.when(F.col("in_book").isNull(), "favorite_only").when(F.col("is_favorite").isNull(), "wrong_only").otherwise("both")
+    return w.join(f, ["bank", "qid"], "full_outer").select("bank", "qid", side.alias("side"))

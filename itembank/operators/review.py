@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from itembank.operators.ordering import join_null_safe
+
 from itembank.constants import GRADUATE_STREAK, INTERVALS
 from itembank.functions.review import next_review
 
@@ -138,7 +140,7 @@ def attempt_status(
     runs = _with_runs(attempts, keys, order, _month() if chunk is None else chunk)
     carry = _stitch(_chunk_rows(runs, keys, order), keys).select(*keys, "chunk", "wrong_before", "streak_in")
     w = Window.partitionBy(*keys, "chunk").orderBy(*order)
-    joined = runs.join(carry, [*keys, "chunk"])
+    joined = join_null_safe(runs, carry, [*keys, "chunk"])
     streak = F.col("run") + F.when(F.col("isl") == 0, F.col("streak_in")).otherwise(0)
     seen = F.col("wrong_before") + F.col("isl") > 0
     out = joined.withColumn("streak", streak).withColumn("_prev", F.lag("streak").over(w))

@@ -68,9 +68,9 @@ def w2(spark, sf):
 
 
 @query("a12_group_by_type", f"""WITH {BOOK}
-SELECT bank, qtype, count(*) AS records FROM v_book JOIN v_questions USING (bank, qid) GROUP BY bank, qtype""")
+SELECT bank, coalesce(qtype, '单选') AS qtype, count(*) AS records FROM v_book LEFT JOIN v_questions USING (bank, qid) GROUP BY 1, 2""")
 def a12(spark, sf):
-    return R.group_by_type(book(spark, sf).join(questions(spark, sf).select("bank", "qid", "qtype"), ["bank", "qid"]))
+    return R.group_by_type(book(spark, sf).join(questions(spark, sf).select("bank", "qid", "qtype"), ["bank", "qid"], "left"))
 
 
 @query("a14_book_totals", f"""WITH {BOOK} {FAV},

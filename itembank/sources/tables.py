@@ -13,9 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a table held in fewer files than there are cores; larger tables are left as scanned."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    """Documents dealt by id before their texts are taken apart.
+
+    The pattern-heavy work then runs on all cores however few files or row groups the table has,
+    and the windows over a document's lines find their rows together without another shuffle.
+    """
+    return df.repartition(F.col("doc_id"))
 
 
 def _pick(index: Column, values: list[str]) -> Column:
