@@ -182,3 +182,28 @@ def test_pipeline_stages_do_what_they_say(spark):
                 assert (after[k].text, after[k].n_chars) == (text, len(text) if text != r.text else r.n_chars)
     ids = corpus_pipeline.STAGES[-1][1](spark, kept, sf)
     assert ids.columns == ["doc_id", "n_pieces", "ids"] and ids.count() == kept.count()
+
+
+def test_a_large_group_of_near_copies_is_exact(spark, monkeypatch):
+    """Copies of one text on both sides of the threshold: their large region is joined on differences."""
+    monkeypatch.setattr(ngram_join, "SMALL_REGION", 6)
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 7)))
+    text = [word() for _ in range(150)]
+    rows = []
+    for k in range(160):
+        copy, edits = list(text), rnd.choice([1, 2, 3, 4, 5, 6])
+        for _ in range(edits):
+            copy[rnd.randrange(len(copy))] = word()
+        rows.append((k, " ".join(copy)))
+        if k % 20 == 0:  # a second edit of a far copy
+            copy[rnd.randrange(len(copy))] = word()
+            rows.append((1000 + k, " ".join(copy)))
+    passed = []
+    real = ngram_join.within_cells
+    monkeypatch.setattr(ngram_join, "within_cells", lambda *a: passed.append(1) or real(*a))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(map(tuple, ngram_join.similar_components(docs).collect()), key=str)
+    expected = brute_components(rows)
+    assert found == expected and passed
+    assert 1 < len({c for *_, c in expected}) < len(rows)
