@@ -41,7 +41,7 @@ from itembank.session import materialize
 PERCENT = 80
 #: Shingles in many documents come last in the global order. At most HEAVY of them are told to the
 #: tasks (16 bytes each); any order is exact, this one keeps regions small.
-HEAVY, HEAVY_LEAST, HEAVY_SEEN = 1 << 18, 16, 3
+HEAVY, HEAVY_LEAST, HEAVY_SEEN = 1 << 18, 16, 2
 #: Regions up to this size compare their documents directly, larger ones through their pivots.
 SMALL_REGION = 128
 
@@ -85,6 +85,16 @@ def _heavy(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], rows.column("seen").to_numpy()[order]
 
 
+def _crowded(region: DataFrame, heavy: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """heavy and seen with the shingles of large regions, at most HEAVY more, by their true sizes."""
+    large = region.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SMALL_REGION)
+    rows = large.orderBy(F.col("m").desc(), "s").limit(HEAVY).toArrow()
+    known = dict(zip(heavy.tolist(), seen.tolist(), strict=True))
+    known.update(zip(rows.column("s").to_numpy().view(np.uint64).tolist(), rows.column("m").to_numpy().tolist(), strict=True))
+    h = np.array(sorted(known), np.uint64)
+    return h, np.array([known[x] for x in h.tolist()], np.int64)
+
+
 class _Order:
     """The global order of shingles: those not known as heavy by hash, then the heavy ones by frequency."""
 
@@ -369,7 +379,12 @@ def similar_components(docs: DataFrame) -> DataFrame:
     docs = documents(docs)
     first = first_pass(docs)
     rows = first.where("key IS NOT NULL").select("doc_id", "n", "key")
-    region = regions(prefix_rows(docs, *_heavy(first)))
+    heavy = _heavy(first)
+    region = regions(prefix_rows(docs, *heavy))
+    # shingles that the batches of a task did not show to be frequent crowd regions: with them last, most regions are small
+    later = _crowded(region, *heavy)
+    if len(later[0]) > len(heavy[0]):
+        region = regions(prefix_rows(docs, *later))
 
     pairs = materialize(central_pairs(region), "central-pairs")
     sets = candidate_sets(docs, first, _ids(pairs))
