@@ -119,9 +119,9 @@ def m6(spark, sf):
 
 @query("m6_llm_errors", f"""WITH {V}
 SELECT bank, doc_id, chunk_no, 0 AS item_no, '模型返回的不是合法 JSON' AS error FROM v WHERE s = 3
-UNION ALL SELECT bank, doc_id, chunk_no, 2, '第 2 条不是题目对象，已跳过' FROM v WHERE s = 0
-UNION ALL SELECT bank, doc_id, chunk_no, 2, '第 2 条与前面的题目重复，已跳过' FROM v WHERE s = 5
-UNION ALL SELECT bank, doc_id, chunk_no, 3, '第 3 条缺少题干，已跳过' FROM v WHERE s = 5""")
+UNION ALL SELECT bank, doc_id, chunk_no, 2, '第 2 条不是对象，略过' FROM v WHERE s = 0
+UNION ALL SELECT bank, doc_id, chunk_no, 2, '第 2 条与之前的相同，略过' FROM v WHERE s = 5
+UNION ALL SELECT bank, doc_id, chunk_no, 3, '第 3 条没有题干，略过' FROM v WHERE s = 5""")
 def m6_errors(spark, sf):
     return _parsed(spark, sf)[1]
 

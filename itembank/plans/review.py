@@ -239,8 +239,8 @@ SELECT bank, qid, m.mode || ':' || CASE m.mode WHEN 'order' THEN '顺序练习'
        '答对后 +' || CASE stage WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 4 WHEN 3 THEN 7 WHEN 4 THEN 15 ELSE 30 END || ' 天' AS hint,
        CASE WHEN answer <> '' THEN answer WHEN explanation <> '' THEN explanation ELSE '（无参考答案）' END AS answer_text,
        qtype IN ('简答', '论述') AS subjective,
-       CASE qtype WHEN '判断' THEN '请选择「正确」或「错误」' WHEN '多选' THEN '多选题：可选择多个选项（如 A、C、D）'
-            WHEN '单选' THEN '单选题：请选择一个选项' ELSE '先看参考答案，再自评是否掌握' END AS input_hint
+       CASE qtype WHEN '判断' THEN '答案须为正确或错误' WHEN '多选' THEN '可选多项'
+            WHEN '单选' THEN '只选一项' ELSE '对照参考答案后自评' END AS input_hint
 FROM v_book JOIN v_questions USING (bank, qid) JOIN m USING (bank, qid)""")
 def p21(spark, sf):
     from itembank.functions.questions import answer_text, input_hint, is_subjective

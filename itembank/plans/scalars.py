@@ -310,12 +310,12 @@ def p19(spark, sf):
 m AS (SELECT *, CASE WHEN p_partkey % 11 = 0 THEN ' ' ELSE p_name END AS stem, CASE WHEN p_partkey % 3 = 0 THEN 'A' ELSE 'ABCD' END AS keys FROM s),
 n AS (SELECT *, regexp_extract_all({schoice('raw')}, '.') AS ls, {schoice('raw')} AS lraw FROM m),
 o AS (SELECT *, list_filter(ls, lambda l: NOT contains(keys, l)) AS missing FROM n)
-SELECT p_partkey, CASE WHEN stem = ' ' THEN '请填写题干'
-  WHEN qtype IN ('单选', '多选') AND keys = 'A' THEN '单选/多选题至少需要 2 个选项'
-  WHEN qtype IN ('单选', '多选') AND lraw = '' THEN '请填写正确答案字母，如 A 或 AB'
-  WHEN qtype IN ('单选', '多选') AND len(missing) > 0 THEN '答案 ' || missing[1] || ' 不在已填选项里'
-  WHEN qtype = '单选' AND length(lraw) > 1 THEN '单选题答案只能是一个字母'
-  WHEN qtype = '判断' AND jn = '' THEN '请选择「正确」或「错误」' ELSE '' END AS reason FROM o""")
+SELECT p_partkey, CASE WHEN stem = ' ' THEN '缺题干'
+  WHEN qtype IN ('单选', '多选') AND keys = 'A' THEN '选择题的选项不足两个'
+  WHEN qtype IN ('单选', '多选') AND lraw = '' THEN '缺答案字母'
+  WHEN qtype IN ('单选', '多选') AND len(missing) > 0 THEN '答案 ' || missing[1] || ' 没有对应的选项'
+  WHEN qtype = '单选' AND length(lraw) > 1 THEN '单选题只可有一个答案'
+  WHEN qtype = '判断' AND jn = '' THEN '答案须为正确或错误' ELSE '' END AS reason FROM o""")
 def p20(spark, sf):
     key = F.col("p_partkey")
     keep = F.when(key % 3 == 0, F.map_filter("options", lambda k, v: k == "A")).otherwise(F.col("options"))
