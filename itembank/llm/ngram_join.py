@@ -201,7 +201,7 @@ def _window(p, q):
 
 
 def candidate_sets(docs: DataFrame, first: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, key, hashes) of the sets with the given short keys, each from one document that has it."""
+    """(id, key, hashes) of the sets with the given short keys, each once, from one document that has it."""
     carriers = first.where("key IS NOT NULL").join(ids, "id", "left_semi")
     carriers = materialize(carriers.groupBy("key").agg(F.min("doc_id").alias("carrier")).select("carrier").distinct(), "carriers")
 
@@ -216,7 +216,8 @@ def candidate_sets(docs: DataFrame, first: DataFrame, ids: DataFrame) -> DataFra
 
     texts = docs.join(carriers, docs["doc_id"].eqNullSafe(carriers["carrier"])).select("text")
     found = texts.mapInArrow(run, "id long, key binary, hashes binary")
-    return materialize(found.join(ids, "id", "left_semi"), "candidate-sets")
+    # a carrier's id may be that of several rows, equal ones included, and a null carrier brings all rows without an id
+    return materialize(found.join(ids, "id", "left_semi").dropDuplicates(["id", "key"]), "candidate-sets")
 
 
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:

@@ -207,3 +207,23 @@ def test_a_large_group_of_near_copies_is_exact(spark, monkeypatch):
     expected = brute_components(rows)
     assert found == expected and passed
     assert 1 < len({c for *_, c in expected}) < len(rows)
+
+
+def test_repeated_rows_and_null_ids_do_not_repeat_sets(spark, monkeypatch):
+    """Every copy comes in several rows of one id, or in several rows without an id."""
+    monkeypatch.setattr(ngram_join, "SMALL_REGION", 6)
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 7)))
+    text, rows = [word() for _ in range(150)], []
+    for k in range(60):
+        copy = list(text)
+        for _ in range(rnd.choice([1, 2, 3, 4, 5, 6])):
+            copy[rnd.randrange(len(copy))] = word()
+        rows += [(None if k % 3 == 0 else k, " ".join(copy))] * 4
+    asked = []
+    real = ngram_join.within_cells
+    monkeypatch.setattr(ngram_join, "within_cells", lambda cell, sets, roots: asked.append(sets) or real(cell, sets, roots))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(map(tuple, ngram_join.similar_components(docs).collect()), key=str)
+    assert found == brute_components(rows)
+    assert asked and asked[0].count() == asked[0].select("key").distinct().count()
