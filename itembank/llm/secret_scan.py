@@ -17,21 +17,35 @@ from itembank.llm.common import documents, slices
 
 @dataclass(frozen=True)
 class Rule:
-    """kind; pattern, also readable by Python's re; least length of the match, or of its named group `value`."""
+    """kind; pattern, also readable by Python's re; least length of the match, or of what follows its head `value`.
+
+    opening, if given, is a shorter pattern that matches from a byte exactly where pattern does.
+    """
 
     kind: str
     pattern: str
     least: int = 1
     value: str = ""
+    opening: str = ""
 
 
+#: A PEM key: its first line, headers of an encrypted one, and the body with its last line. Line breaks may be escaped, and lines
+#: quoted or commented. Where the last line is missing, the key ends with the last byte that can be of a body.
+_PEM_OPENING = r"-----BEGIN [A-Z ]*PRIVATE KEY(?: BLOCK)?-----"
+_PEM_HEADER = r"[A-Za-z]+(?:-[A-Za-z]+)*:[A-Za-z0-9,/.\x20]*(?:-[A-Za-z0-9,/.\x20]+)*(?:[\r\n]|\\[nr])+"
+_PEM_LINES = r"[A-Za-z0-9+/=\s\\\"',;>#*|]*"
+_PEM_KEY = (
+    _PEM_OPENING + r"(?:\s|\\[nr])*(?:" + _PEM_HEADER + ")*"
+    + "(?:" + _PEM_LINES + r"-----END [A-Z ]*PRIVATE KEY(?: BLOCK)?-----|(?:[A-Za-z0-9+/=\s\\]*[A-Za-z0-9+/=])?)"
+)
+
 #: The first three rules are the contract's; the others are public key formats.
 RULES = (
     Rule("assign", r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]+", 12,
          r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?"),
     Rule("access", r"AKIA[A-Z0-9]+", 18),
     Rule("hex", r"[0-9a-f]{16,}", 16),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", _PEM_KEY, opening=_PEM_OPENING),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]+", 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15),
     Rule("google", r"AIza[A-Za-z0-9_-]+", 39),
@@ -52,7 +66,7 @@ class Scanner:
 
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = rules
-        self.starts: Dfa = compile_rules([r.pattern for r in rules], reverse=True, anywhere=True)
+        self.starts: Dfa = compile_rules([r.opening or r.pattern for r in rules], reverse=True, anywhere=True)
         self.ends = [compile_rules([r.pattern]) for r in rules]
         self.values = [re.compile(r.value.encode()) if r.value else None for r in rules]
 

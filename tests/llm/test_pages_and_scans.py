@@ -147,3 +147,20 @@ def test_license_report_on_odd_rows(odd):
     assert len(report) == len(ODD) and all(r.labels == "" and r.score == 0 and r.first_word is None for r in report)
     assert licenses.license_report(odd.limit(0)).count() == 0
     assert len(licenses.rules()) > 300 and "Python" not in licenses.license_report(odd)._jdf.queryExecution().executedPlan().toString()
+
+
+BODY = "MIIEvQIBADANBgkqhkiG9w0BAQEFAASCBKcwggSjAgEAAoIBAQC7\nVJTUt9Us8cKjMzEfYyjiWA4R4/M2bS1GB4t7NXp98C3SC6dVMvDuictGeurT8jNb\nvJZHtCSuYEvu=="
+
+
+@pytest.mark.parametrize("head", ["", "RSA ", "ENCRYPTED "])
+@pytest.mark.parametrize("body", [BODY, BODY.replace("\n", "\r\n"), BODY.replace("\n", "\\n"), "Proc-Type: 4,ENCRYPTED\nDEK-Info: DES-EDE3-CBC,0123456789ABCDEF\n\n" + BODY])
+def test_whole_private_keys_are_masked(spark, head, body):
+    key, scan = f"-----BEGIN {head}PRIVATE KEY-----\n{body}\n-----END {head}PRIVATE KEY-----", secret_scan.scanner(secret_scan.RULES)
+    open_key = key[: key.index("\n-----END")]
+    number = next(n for n, r in enumerate(secret_scan.RULES) if r.kind == "private_key")
+    for text in (f"é {key}\nnext. {key}", f"é {open_key}\n\n- next", key, open_key):
+        spans = scan.spans(text)
+        assert [text[s:e] for s, e, n in spans if n == number] == [key if key in text else open_key] * text.count("-----BEGIN")
+        assert spans == brute_spans(text)
+    rows = spark.createDataFrame([(f"é {key}\nnext. {key}",), (f"é {open_key}\n\n- next",)], "text string")
+    assert [r.t for r in rows.select(secret_scan.redact(F.col("text")).alias("t")).collect()] == ["é [secret]\nnext. [secret]", "é [secret]\n\n- next"]
