@@ -101,6 +101,11 @@ class _Parser:
         return trees[0] if len(trees) == 1 else ("or", trees)
 
 
+def parse(pattern: str):
+    """The tree of a pattern."""
+    return _Parser(pattern).either()
+
+
 class _Nfa:
     def __init__(self):
         self.empty: list[list[int]] = []

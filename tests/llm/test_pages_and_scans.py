@@ -164,3 +164,22 @@ def test_whole_private_keys_are_masked(spark, head, body):
         assert spans == brute_spans(text)
     rows = spark.createDataFrame([(f"é {key}\nnext. {key}",), (f"é {open_key}\n\n- next",)], "text string")
     assert [r.t for r in rows.select(secret_scan.redact(F.col("text")).alias("t")).collect()] == ["é [secret]\nnext. [secret]", "é [secret]\n\n- next"]
+
+NAMES = ["the MIT", "Apache 2.0", "Apache License, Version 2.0", "Boost Software", "SIL Open Font", "MPL 2.0", "Mozilla Public License v1.1", "PSF", "Python Software Foundation",
+         "Do What the Fuck You Want to Public", "GNU General Public License, version 3", "GNU Lesser General Public", "GNU Affero General Public License", "BSD-3-Clause",
+         "new BSD", "CC BY-SA 4.0", "Creative Commons by-nc 2.5", "CC0 1.0", "European Union Public", "open data commons open database", "Eclipse Public License - v 2.0", "Microsoft Reciprocal"]
+URLS = ["https://opensource.org/licenses/MIT", "https://unlicense.org", "wtfpl.net", "https://joinup.ec.europa.eu/x/eupl", "docs.python.org/3/license", "postgresql.org/about/licence",
+        "creativecommons.org/licenses/by-nc-sa/3.0", "SPDX-License-Identifier: PSF-2.0", "copyright © 2020", "into the public domain", "confidential and proprietary"]
+
+
+def test_the_gate_loses_nothing(spark):
+    wholes = [f"{head} {name}{tail}" for name in NAMES for head in ("released under the", "available under", "Licensed under", "x") for tail in (".", " License")]
+    texts = [t for w in wholes for t in (w, w.replace(" ", "\n"), w.replace(" ", " \n "))] + URLS
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    every, some = list(enumerate(licenses.rules())), set()
+    for r in rows.select("doc_id", licenses.detections(F.lower("text")).alias("found")).collect():
+        low = texts[r.doc_id].lower()
+        brute = [(x.label, x.priority, n, m.start(), m.end()) for n, x in every for m in re.finditer(x.pattern, low, re.A)]
+        assert [(x.label, x.priority, x.number, x.start, x.end) for x in sorted(r.found, key=lambda x: (x.number, x.start))] == brute, texts[r.doc_id]
+        some.update(x.label for x in r.found)
+    assert {"mpl-2.0", "python-2.0", "wtfpl", "mit", "apache-2.0", "boost-1.0", "ofl-1.1"} <= some
