@@ -90,44 +90,61 @@ def contained_items(docs: DataFrame, items: DataFrame, percent: int = CONTAINMEN
     by the largest. Empty tables give an empty result. Joins are by equality; Spark broadcasts
     the items or the candidates only where they are below its size limit.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    return _contained(docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text")), ["doc_id"], items, percent)
+
+
+def _contained(docs: DataFrame, keys: list[str], items: DataFrame, percent: int) -> DataFrame:
+    """The same for documents told apart by keys, which may be null."""
     texts = items.select(F.col("item_id").cast("long").alias("item_id"), whole_text().alias("text"))
     split = texts.select("item_id", "text", words_of(F.col("text")).alias("words"))
     grams = split.select("item_id", "text", grams_of(F.col("words")).alias("grams"))
     known = materialize(_hashed(grams, "item_id", "grams").withColumn("n_item", F.size("grams")), "items").where("n_item > 0")
     index = materialize(indexed(known), "item-index")
 
-    hashed = _hashed(docs, "doc_id").withColumn("class", size_class(F.size("hashes")))
-    minima = hashed.select("doc_id", "class", F.explode(signature(F.col("hashes"), F.col("class") + EXTRA_BITS)).alias("h"))
+    hashed = _hashed(docs, *keys).withColumn("class", size_class(F.size("hashes")))
+    minima = hashed.select(*keys, "class", F.explode(signature(F.col("hashes"), F.col("class") + EXTRA_BITS)).alias("h"))
     large = index.where("least >= 0")
-    pairs = minima.join(large, "h").where(F.col("class") >= F.col("least")).select("doc_id", "item_id")
+    pairs = minima.join(large, "h").where(F.col("class") >= F.col("least")).select(*keys, "item_id")
     small = index.where("least < 0")
     if not small.isEmpty():
-        every = hashed.select("doc_id", F.explode("hashes").alias("h"))
-        pairs = pairs.unionByName(every.join(small, "h").select("doc_id", "item_id"))
+        every = hashed.select(*keys, F.explode("hashes").alias("h"))
+        pairs = pairs.unionByName(every.join(small, "h").select(*keys, "item_id"))
     candidates = materialize(pairs.distinct(), "candidates")
 
-    asked = _asked(candidates, known)
-    held = docs.join(asked, docs["doc_id"].eqNullSafe(asked["asked"])).select(
-        "doc_id", "item_id", "n_item", "grams", words_of(F.col("text")).alias("words")
+    asked = _asked(candidates, keys, known)
+    held = docs.join(asked, _same(docs, asked, keys)).select(
+        *keys, "item_id", "n_item", "grams", words_of(F.col("text")).alias("words")
     )
-    counted = held.select("doc_id", "item_id", "n_item", F.size(F.array_intersect("grams", grams_of(F.col("words")))).alias("n_found"))
+    counted = held.select(*keys, "item_id", "n_item", F.size(F.array_intersect("grams", grams_of(F.col("words")))).alias("n_found"))
     # the threshold comes after the aggregation: a filter before it would be pushed below and count again
-    found = counted.groupBy("doc_id", "item_id").agg(F.max("n_found").cast("long").alias("n_found"), F.max("n_item").cast("long").alias("n_item"))
+    found = counted.groupBy(*keys, "item_id").agg(F.max("n_found").cast("long").alias("n_found"), F.max("n_item").cast("long").alias("n_item"))
     return found.where(F.col("n_found") * 100 >= F.col("n_item") * percent)
 
 
-def _asked(candidates: DataFrame, known: DataFrame) -> DataFrame:
+def _same(docs: DataFrame, asked: DataFrame, keys: list[str]) -> Column:
+    same = F.lit(True)
+    for key in keys:
+        same = same & docs[key].eqNullSafe(asked[f"asked_{key}"])
+    return same
+
+
+def _asked(candidates: DataFrame, keys: list[str], known: DataFrame) -> DataFrame:
     c, k = candidates.alias("c"), known.alias("k")
     return c.join(k, F.col("c.item_id").eqNullSafe(F.col("k.item_id"))).select(
-        F.col("c.doc_id").alias("asked"), F.col("c.item_id").alias("item_id"), "k.n_item", "k.grams"
+        *[F.col(f"c.{key}").alias(f"asked_{key}") for key in keys], F.col("c.item_id").alias("item_id"), "k.n_item", "k.grams"
     )
 
 
 def clean(docs: DataFrame, items: DataFrame, percent: int = CONTAINMENT) -> DataFrame:
-    """The rows of docs, all their columns, whose document holds no item."""
-    leaked = materialize(contained_items(docs, items, percent).select(F.col("doc_id").alias("_leaked")).distinct(), "leaked")
-    return docs.join(leaked, docs["doc_id"].cast("long").eqNullSafe(leaked["_leaked"]), "left_anti")
+    """The rows of docs, all their columns, whose document holds no item.
+
+    Here a row without an id is a document of its own, told by a hash of its text.
+    """
+    key, own = F.col("doc_id").cast("long"), F.when(F.col("doc_id").cast("long").isNull(), F.sha2(whole_text(), 256))
+    told = docs.select(key.alias("doc_id"), own.alias("own"), whole_text().alias("text"))
+    found = _contained(told, ["doc_id", "own"], items, percent)
+    leaked = materialize(found.select(F.col("doc_id").alias("_leaked"), F.col("own").alias("_leaked_own")).distinct(), "leaked")
+    return docs.join(leaked, key.eqNullSafe(F.col("_leaked")) & own.eqNullSafe(F.col("_leaked_own")), "left_anti")
 
 
 #: The exact answer by counting all shingles.

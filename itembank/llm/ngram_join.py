@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itembank.llm.common import documents, slices
+from itembank.llm.common import documents, slices, whole_text
 from itembank.llm.shingle_sets import set_key, shingle_sets, short_key
 from itembank.session import materialize
 
@@ -377,7 +377,12 @@ def similar_components(docs: DataFrame) -> DataFrame:
     nothing and keeps its own id. Null ids count only where a component has no other, repeated
     ids like others. An empty table gives an empty result.
     """
-    docs = documents(docs)
+    rows, named = _named(documents(docs))
+    return _numbered(rows, named)
+
+
+def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, key) of every row, and (key, component_id, lead) of every set: lead is the least key of its component."""
     first = first_pass(docs)
     rows = first.where("key IS NOT NULL").select("doc_id", "n", "key")
     heavy = _heavy(first)
@@ -406,18 +411,17 @@ def similar_components(docs: DataFrame) -> DataFrame:
         pairs = within_cells(cell, sets, roots).join(tested.select("a", "b"), ["a", "b"], "left_anti")
         tested = tested.unionByName(distances(pairs, sets))
         roots = components(tested.where("linked").select("a", "b"))
-    return _numbered(rows, roots, sets)
-
-
-def _numbered(rows: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
-    """Each row with the smallest doc_id of its component."""
     nodes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
     linked = sets.select("id", "key").join(roots, "id").select("key", "root").distinct()
     named = nodes.join(linked, "key")
-    tops = named.groupBy("root").agg(F.min("least").alias("top"))
-    tops = named.join(tops, "root").select("key", "top")
-    every = nodes.join(tops, "key", "left").select("key", F.coalesce("top", "least").alias("component_id"))
-    return rows.join(every, "key", "left").select(
+    tops = named.groupBy("root").agg(F.min("least").alias("top"), F.min("key").alias("lead"))
+    tops = named.join(tops, "root").select("key", "top", "lead")
+    return rows, nodes.join(tops, "key", "left").select("key", F.coalesce("top", "least").alias("component_id"), F.coalesce("lead", "key").alias("lead"))
+
+
+def _numbered(rows: DataFrame, named: DataFrame) -> DataFrame:
+    """Each row with the smallest doc_id of its component."""
+    return rows.join(named.select("key", "component_id"), "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
@@ -425,8 +429,25 @@ def _numbered(rows: DataFrame, roots: DataFrame, sets: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, all their columns, of the document with the smallest id of each component.
 
-    Rows that share an id stay or go together; rows with null ids stay.
+    Rows that share an id stay or go together. Rows without an id go where their component has
+    an id, and else one of them stays. Empty sets are linked with nothing, so their rows stay.
     """
-    found = similar_components(docs)
-    gone = materialize(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "copies")
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+
+    @F.pandas_udf("binary")
+    def key_of(texts):
+        import pandas as pd
+
+        return pd.Series([set_key(s) for s in shingle_sets(texts.tolist())], dtype=object)
+
+    rows, named = _named(documents(docs))
+    named = materialize(named, "components")
+    gone = _numbered(rows, named).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = materialize(gone, "copies")
+    doc_id = F.col("doc_id").cast("long")
+    kept = docs.where(doc_id.isNotNull()).join(gone, doc_id == gone["_gone"], "left_anti")
+    leads = named.where("component_id IS NULL AND key = lead").select(F.col("key").alias("_set"))
+    nameless, words = docs.where(doc_id.isNull()), F.coalesce(whole_text().rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # first one row of each set, so that a set in many rows does not meet the join
+    told = nameless.where(words).withColumn("_set", key_of(whole_text())).dropDuplicates(["_set"])
+    told = told.join(leads, "_set", "left_semi").select(*docs.columns)
+    return kept.unionByName(nameless.where(~words)).unionByName(told)

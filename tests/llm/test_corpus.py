@@ -227,3 +227,23 @@ def test_repeated_rows_and_null_ids_do_not_repeat_sets(spark, monkeypatch):
     found = sorted(map(tuple, ngram_join.similar_components(docs).collect()), key=str)
     assert found == brute_components(rows)
     assert asked and asked[0].count() == asked[0].select("key").distinct().count()
+
+
+def test_rows_without_an_id_are_judged_by_their_text(spark):
+    item = "one two three four five six seven eight nine ten eleven twelve"
+    rows = [(None, "x " + item), (None, "x " + item), (None, "clean text"), (None, "clean text"), (None, None), (1, item), (2, "clean too")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("own", F.lit(1))
+    kept = decontamination.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted(
+        [(None, "clean text"), (None, "clean text"), (None, None), (2, "clean too")], key=str)
+
+
+def test_one_row_without_an_id_stays_of_each_group(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(None, "a b c d e f g")] * 3 + [(None, "A b  c d e f g"), (None, long), (None, long + " x"), (4, "p q r s t u"), (None, "p q r s t u"), (None, None), (None, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1))
+    kept = ngram_join.one_of_each(docs)
+    texts = [(r.doc_id, " ".join(r.text.lower().split())[:9] if r.text else r.text) for r in kept.collect()]
+    assert kept.columns == docs.columns
+    assert sorted(texts, key=str) == sorted([(None, "a b c d e"), (None, long[:9]), (4, "p q r s t"), (None, None), (None, "")], key=str)
