@@ -21,9 +21,34 @@ def whole_text(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def exact(df: DataFrame, *names: str) -> DataFrame:
+    """The columns of exactly these names, whatever other columns are called, in other letter case too."""
+    by_place = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    return by_place.select(*[F.col(f"c{df.columns.index(n)}").alias(n) for n in names])
+
+
 def documents(docs: DataFrame) -> DataFrame:
     """The two columns the operators read; whatever else the table has stays behind."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    return exact(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+
+
+#: A key is hot with this share of all rows or more, so there are at most as many hot keys.
+HOT_KEYS = 512
+
+
+def join_back(rows: DataFrame, table: DataFrame, keys: list[str], count: str, n: int) -> DataFrame:
+    """rows with the columns of table (one row a key, `count` of them in rows, n rows in all); left join.
+
+    The hot keys' rows of table, HOT_KEYS at most, are broadcast, so that rows of a hot key stay
+    where they are; all other keys have less than n / HOT_KEYS rows and are joined by shuffle.
+    """
+    hot = F.col(count) * HOT_KEYS >= max(n, 1)
+    columns = [c for c in table.columns if c not in keys and c != count]
+    known = F.broadcast(table.where(hot).select(*keys, *columns, F.lit(True).alias("hot_key")))
+    first = rows.join(known, keys, "left")
+    done = first.where("hot_key").select(*rows.columns, *columns)
+    rest = first.where("hot_key is null").select(*rows.columns)
+    return done.unionByName(rest.join(table.where(~hot).select(*keys, *columns), keys, "left").select(*rows.columns, *columns))
 
 
 def worker_memo(name: str) -> dict:

@@ -10,14 +10,17 @@ from pyspark.sql import DataFrame, SparkSession
 from itembank.llm.common import table
 from itembank.llm.decontamination import CONTAINED_SQL, contained_items
 from itembank.llm.extraction import extract
+from itembank.llm.filter_audit import AUDIT_SQL, audit
 from itembank.llm.fingerprints import edit_report
 from itembank.llm.licenses import license_report
 from itembank.llm.ngram_join import similar_components
 from itembank.llm.pieces import piece_report
 from itembank.llm.quality import classify
+from itembank.llm.quality_rules import RULES_SQL, rules_report
 from itembank.llm.secret_scan import secret_report
 from itembank.llm.token_counts import token_counts
 from itembank.llm.token_files import token_digest
+from itembank.llm.whitening import whiten
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -83,3 +86,18 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 @query("op1_extraction")
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     return extract(table(spark, sf, "pages"))
+
+
+@query("op13_rules", RULES_SQL)
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return rules_report(table(spark, sf, "documents"))
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return whiten(table(spark, sf, "embeddings"))
+
+
+@query("op11_filter_audit", AUDIT_SQL)
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
