@@ -9,19 +9,42 @@ from pyspark.sql import functions as F
 from itembank.functions.questions import options_text
 from itembank.operators import extraction as E
 from itembank.plans.registry import query
-from itembank.plans.sqltext import sqid, strim
+from itembank.plans.sqltext import SWS, rep, sqid, strim
 from itembank.plans.sqlviews import Q
-from itembank.session import materialize
-from itembank.sources.lines import text_lines
-from itembank.sources.tables import questions, spread, table
+from itembank.session import materialize, scratch_path
+from itembank.sources.tables import questions, table
 
 
-def _chunks(spark, sf):
-    docs = spread(table(spark, sf, "documents")).select(F.col("source").alias("bank"), "doc_id", "text")
-    return E.chunk_lines(text_lines(docs, ["bank", "doc_id"]))
+def _numbered(spark, sf):
+    """Documents whose lines with a leading vowel begin a question, so that chunks have places to end at."""
+    text = F.regexp_replace("text", r"(?m)^([AEIOU])", "3. $1")
+    return table(spark, sf, "documents").select(F.col("source").alias("bank"), "doc_id", text.alias("text"))
 
 
-@query("m1_chunk_lines")
+def _chunks(spark, sf):
+    return E.chunk_documents(_numbered(spark, sf))
+
+
+_BARE = strim(rep("raw", r"[\x{FEFF}]"))
+QUESTION = rf"^[{SWS}]*([（(][{SWS}]*[0-9]{{1,3}}[{SWS}]*[）)]|[0-9]{{1,3}}[{SWS}]*[.、．)）:：]|[一二三四五六七八九十]{{1,3}}[{SWS}]*[、.．)）]|第[{SWS}]*[0-9]{{1,3}}[{SWS}]*[题問])"
+# totals before each line (and after the last) give every line the end of a chunk that begins there; the chunks are a walk over these
+CHUNKS = rf"""d AS (SELECT source AS bank, doc_id, regexp_split_to_array(regexp_replace(text, '(?m)^([AEIOU])', '3. \1', 'g'), '\r\n|\r|\n') AS a FROM documents),
+w AS (SELECT bank, doc_id, i, {_BARE} AS t FROM (SELECT *, unnest(a) AS raw, generate_subscripts(a, 1) AS i FROM d)),
+l AS (SELECT bank, doc_id, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k, regexp_matches(t, '{QUESTION}') AS q,
+  sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM w WHERE t <> ''),
+z AS (SELECT doc_id, count(*) AS n FROM l GROUP BY 1),
+e AS (SELECT a.doc_id, a.k, max(CASE WHEN b.after - a.after + length(a.t) + 1 <= 2500 THEN b.k END) AS fit FROM l a JOIN l b ON a.doc_id = b.doc_id AND b.k >= a.k GROUP BY 1, 2),
+s AS (SELECT doc_id, k, greatest(k + 1, coalesce(fit, k) + 1) AS stop FROM e),
+m AS (SELECT s.doc_id, s.k, max(b.k) AS good FROM s JOIN l a ON a.doc_id = s.doc_id AND a.k = s.k
+  JOIN l b ON b.doc_id = s.doc_id AND b.k > s.k AND b.k < s.stop AND b.q AND (b.after - length(b.t) - 1) - (a.after - length(a.t) - 1) >= 1500 GROUP BY 1, 2),
+c AS (SELECT s.doc_id, s.k, z.n, CASE WHEN stop < n THEN coalesce(good, stop) ELSE stop END AS cut FROM s JOIN z USING (doc_id) LEFT JOIN m ON m.doc_id = s.doc_id AND m.k = s.k),
+r AS (SELECT doc_id, 0 AS no, 0::BIGINT AS first FROM z UNION ALL
+  SELECT r.doc_id, no + 1, greatest(first + 1, cut - 2) FROM r JOIN c ON c.doc_id = r.doc_id AND c.k = r.first WHERE cut < n),
+v_chunks AS (SELECT l.bank, r.doc_id, r.no AS chunk_no, r.first AS lo, c.cut - 1 AS hi, string_agg(l.t, chr(10) ORDER BY l.k) AS text,
+  min_by(l.t, l.k) AS head FROM r JOIN c ON c.doc_id = r.doc_id AND c.k = r.first JOIN l ON l.doc_id = r.doc_id AND l.k >= r.first AND l.k < c.cut GROUP BY ALL)"""
+
+
+@query("m1_chunk_lines", f'WITH RECURSIVE {CHUNKS} SELECT bank, doc_id, chunk_no, lo AS "from", hi AS "to", text FROM v_chunks')
 def m1(spark, sf):
     return _chunks(spark, sf)
 
@@ -40,10 +63,16 @@ def stub(messages: list[dict]) -> str:
     return json.dumps({"choices": [{"message": {"content": reply}}], "usage": tokens}, ensure_ascii=False)
 
 
-@query("m3_batch_infer")
+REPLY = """'{"questions": [{"stem": ' || to_json(head) || ', "options": ["A. x", "B. y"], "answer": "A"}]}'"""
+
+
+@query("m3_batch_infer", f"""WITH RECURSIVE {CHUNKS}, a AS (SELECT *, {REPLY} AS reply FROM v_chunks)
+SELECT bank, doc_id, chunk_no, 'ok' AS status, 1 AS attempts, '' AS error, '{{"choices": [{{"message": {{"content": ' || to_json(reply)
+  || '}}}}], "usage": {{"prompt_tokens": ' || (hi - lo + 4) || ', "completion_tokens": ' || length(reply) || '}}}}' AS response FROM a""")
 def m3(spark, sf):
     chunks = _chunks(spark, sf).withColumn("messages", E.messages(F.col("text")))
-    return E.infer(chunks, stub, backoff_s=0)
+    store = scratch_path(spark, "answers")
+    return E.infer_stored(chunks, stub, store, backoff_s=0).select(*E.CHUNK_ID, "status", "attempts", "response", "error")
 
 
 # answers in six layouts: fenced, bare list, wrapped with a trailing comma, not JSON, one object, keyed objects with a repeat

@@ -40,6 +40,11 @@ def text_lines(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
     return _exploded(docs, _numbered(F.transform(_pieces(F.col(text)), _bare)), keep, F.lit(0))
 
 
+def line_texts(text: Column) -> Column:
+    """The texts of text_lines as one array, in the row."""
+    return F.filter(F.transform(_pieces(text), _bare), lambda t: t != "")
+
+
 def paragraph_lines(docs: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
     """Word text: blank lines take no number; line and paragraph numbers agree."""
     kept = F.filter(F.transform(_pieces(F.col(text)), trim_ws), lambda t: t != "")
