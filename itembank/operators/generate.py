@@ -197,13 +197,18 @@ def _matches(text: str, pattern: str, group: int = 0) -> str:
 
 
 def _word_hits(text: str, words: list[str]) -> str:
-    """Array of (term, index) of every occurrence of every word; words may overlap each other."""
+    """Array of (term, index) of every occurrence of every word; occurrences may overlap, those of one word too.
+
+    The text is cut before every occurrence, so the pieces that begin with the word tell the places.
+    """
     if not words:
         return "cast(array() as array<struct<term:string,index:int>>)"
     any_word = "|".join(map(re.escape, words))
+    before = f"{_s('(?=' + chr(92) + 'Q')} || d || {_s(chr(92) + 'E)')}"
     return f"""if({text} rlike {_s(any_word)}, flatten(transform(filter({_list(words)}, d -> contains({text}, d)),
-        d -> transform(array(split({text}, {_s(chr(92) + "Q")} || d || {_s(chr(92) + "E")})), ps -> transform(sequence(1, size(ps) - 1),
-            k -> named_struct('term', d, 'index', cast(aggregate(slice(ps, 1, k), 0, (n, q) -> n + length(q)) + (k - 1) * length(d) as int))))[0])),
+        d -> transform(array(split({text}, {before})), ps -> transform(filter(transform(ps,
+            (p, k) -> named_struct('hit', startswith(p, d), 'at', aggregate(slice(ps, 1, k), 0, (n, q) -> n + length(q)))), x -> x.hit),
+            x -> named_struct('term', d, 'index', x.at)))[0])),
         cast(array() as array<struct<term:string,index:int>>))"""
 
 
@@ -254,15 +259,13 @@ def pattern_hits(lex: Lexicon, text: str = "text") -> list[str]:
     ]
 
 
-def key_terms(usable: DataFrame, lexicon: Lexicon | None = None, patterns_only: bool = False) -> DataFrame:
-    """Add raw: every candidate of a sentence as (term, kind, index, weight)."""
+def key_terms(usable: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
+    """Add raw: every candidate of a sentence as (term, kind, index, weight), from all detectors."""
     lex = lexicon or Lexicon()
-    parts = pattern_hits(lex)
-    if not patterns_only:
-        parts += [
-            _suffix_hits("text", lex, names=False), _suffix_hits("text", lex, names=True),
-            _as_hits(_matches("text", PERSON), "name", "length(h.term)"),
-        ]
+    parts = [
+        *pattern_hits(lex), _suffix_hits("text", lex, names=False), _suffix_hits("text", lex, names=True),
+        _as_hits(_matches("text", PERSON), "name", "length(h.term)"),
+    ]
     return usable.withColumn("raw", F.expr(f"concat({', '.join(parts)})"))
 
 

@@ -104,15 +104,39 @@ _ALL = [
 ] + [_found(w, "term", "length({t})") for w in LATIN.terms] + [_found(w, "name", "length({t})") for w in LATIN.names]
 
 
-@query("n5_key_terms", f"WITH {FILTERED} " + " UNION ALL ".join(_ALL))
+def _suffixed(words: list[str], kind: str, head: int, ok: str) -> str:
+    """Words that end in a suffix, with the few letters before it; the rules for particles, measures and verbs need Han letters."""
+    listed = ", ".join(f"'{w}'" for w in words)
+    return f"""SELECT doc_id, pos, sent, t AS term, '{kind}' AS kind, CAST("end" - length(t) AS INT) AS "index", 0 AS weight FROM (
+  SELECT *, i + length(d) AS "end", regexp_extract(substr(text, greatest(i - {head - 1}, 1)::BIGINT, least(i, {head})::BIGINT), '([A-Za-z]*)$', 1) || d AS t FROM (
+    SELECT doc_id, pos, sent, text, d, unnest(list_filter(range(0, length(text) - length(d) + 1), lambda x: substr(text, x + 1, length(d)) = d)) AS i
+    FROM v_filtered, (SELECT unnest([{listed}]) AS d) WHERE reason = '' AND contains(text, d))) WHERE {ok}"""
+
+
+_SUFFIXED = [
+    _suffixed(LATIN.term_suffixes, "term", N.TERM_HEAD, "length(t) BETWEEN 3 AND 12"),
+    _suffixed(LATIN.name_suffixes, "name", N.NAME_HEAD,
+              """length(t) BETWEEN 2 AND 12 AND ("end" = length(t) OR NOT regexp_matches(substr(text, "end" - length(t), 1), '[A-Za-z]'))"""),
+]
+RAW = FILTERED + f""",
+v_raw AS ({" UNION ALL ".join([*_ALL, *_SUFFIXED])})"""
+# candidates in order of preference, taken one by one where they meet none taken before
+RESOLVED = RAW + """,
+g AS (SELECT doc_id, pos, sent, list({'k': k, 'w': -weight, 'l': -length(term), 'i': i, 'term': term, 'kind': kind} ORDER BY k, -weight, -length(term), i, term, kind) AS hs
+  FROM (SELECT *, "index" AS i, CASE kind WHEN 'quote' THEN 0 WHEN 'term' THEN 1 WHEN 'name' THEN 2 WHEN 'number' THEN 3 ELSE 4 END AS k FROM v_raw) GROUP BY 1, 2, 3),
+w AS (SELECT doc_id, pos, sent, hs, 1 AS n, hs[:0] AS kept FROM g UNION ALL
+  SELECT doc_id, pos, sent, hs, n + 1, CASE WHEN len(list_filter(kept, lambda o: hs[n].i < o.i - o.l AND o.i < hs[n].i - hs[n].l)) > 0 THEN kept ELSE list_append(kept, hs[n]) END
+  FROM w WHERE n <= len(hs)),
+v_resolved AS (SELECT doc_id, pos, sent, x.term AS term, x.kind AS kind, x.i AS "index", -x.w AS weight FROM (SELECT *, unnest(kept) AS x FROM w WHERE n = len(hs) + 1))"""
+
+
+@query("n5_key_terms", f"WITH {RAW} SELECT * FROM v_raw")
 def n5(spark, sf):
     ready = _filtered(spark, sf).filter("reason = ''")
-    return N.key_terms(ready, LATIN, patterns_only=True).select("doc_id", "pos", "sent", F.explode("raw").alias("h")).select(
-        "doc_id", "pos", "sent", "h.*"
-    )
+    return N.key_terms(ready, LATIN).select("doc_id", "pos", "sent", F.explode("raw").alias("h")).select("doc_id", "pos", "sent", "h.*")
 
 
-@query("n6_overlap_resolve")
+@query("n6_overlap_resolve", f"WITH RECURSIVE {RESOLVED} SELECT * FROM v_resolved")
 def n6(spark, sf):
     ready = _filtered(spark, sf).filter("reason = ''")
     return N.resolve_overlaps(N.key_terms(ready, LATIN)).select("doc_id", "pos", "sent", F.explode("hits").alias("h")).select(
