@@ -145,52 +145,44 @@ def n6(spark, sf):
 
 
 # --- steps after the detectors ----------------------------------------------------------------------
-WORDS, DIGITS = r"[A-Za-z]*(?:tion|ment|keit)", r"[0-9]{2,}"
-
-
 def _usable(spark, sf):
     rows = N.carry_topics(_filtered(spark, sf)).filter("reason = ''").drop("reason")
-    hit = lambda p, kind: N._as_hits(N._matches("text", p), kind, "0")
-    rows = rows.withColumn("hits", F.expr(f"concat({hit(WORDS, 'term')}, {hit(DIGITS, 'number')})"))
-    rows = rows.withColumn("hits", F.expr(
-        "transform(array_sort(transform(hits, h -> struct(h.index AS i, h.term AS term, h.kind AS kind, h.weight AS weight))), "
-        "x -> named_struct('term', x.term, 'kind', x.kind, 'index', x.i, 'weight', x.weight))"
-    ))
-    return N.blankable(N.blanks(rows, LATIN))
+    return N.blankable(N.blanks(N.resolve_overlaps(N.key_terms(rows, LATIN)), LATIN))
 
 
 def _written(spark, sf):
     return materialize(_usable(spark, sf), "usable")
 
 
-_STEM_LEN = "CASE WHEN kind = 'term' AND length(term) > 5 THEN length(term) - 4 ELSE length(term) END"
-HITS = TOPICS + f""",
-v_hits AS ({_found(WORDS.replace('?:', ''), 'term')} UNION ALL {_found(DIGITS, 'number')}),
-v_blanks AS (SELECT bank, doc_id, pos, sent, h."index" AS start, h.kind, substr(h.term, 1, {_STEM_LEN}) AS blank, h.term FROM v_hits h JOIN v_topics USING (doc_id, pos, sent)),
-b1 AS (SELECT b.*, length(blank) AS len, length(s.c) AS n, s.text, s.topic, s.line FROM v_blanks b JOIN v_topics s USING (bank, doc_id, pos, sent)),
+_SUFFIX = "|".join(LATIN.term_suffixes)
+_STEM_LEN = f"CASE WHEN kind = 'term' AND regexp_matches(term, '({_SUFFIX})$') AND length(term) > 5 THEN length(term) - 4 ELSE length(term) END"
+_KIND = "CASE kind WHEN 'quote' THEN 0 WHEN 'term' THEN 1 WHEN 'name' THEN 2 WHEN 'number' THEN 3 ELSE 4 END"
+HITS = RESOLVED + TOPICS[len(FILTERED):] + f""",
+v_blanks AS (SELECT bank, doc_id, pos, sent, h."index" AS start, h.kind, substr(h.term, 1, {_STEM_LEN}) AS blank, h.term, h.weight FROM v_resolved h JOIN v_topics USING (doc_id, pos, sent)),
+b1 AS (SELECT b.*, length({scompact('blank')}) AS len, length(s.c) AS n, s.text, s.topic, s.line FROM v_blanks b JOIN v_topics s USING (bank, doc_id, pos, sent)),
 v_ok AS (SELECT * FROM b1 WHERE len >= 1 AND len <= 12 AND (len >= 2 OR kind = 'number') AND len <= n * 0.4 AND n - len >= 8),
-v_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pos, sent ORDER BY CASE kind WHEN 'term' THEN 1 ELSE 3 END, len DESC, start) - 1 AS blank_no FROM v_ok) WHERE blank_no < @K@)"""
+v_top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, pos, sent ORDER BY {_KIND}, weight DESC, length(blank) DESC, start) - 1 AS blank_no FROM v_ok) WHERE blank_no < @K@)"""
 
 
 def hits_sql(k: int) -> str:
     return HITS.replace("@K@", str(k))
 
 
-@query("n7_blank_span", f"WITH {hits_sql(1)} SELECT doc_id, pos, sent, start, kind, blank, CAST(length(blank) AS INT) AS len FROM v_blanks")
+@query("n7_blank_span", f"WITH RECURSIVE {hits_sql(1)} SELECT doc_id, pos, sent, start, kind, blank, CAST(length({scompact('blank')}) AS INT) AS len FROM v_blanks")
 def n7(spark, sf):
     return _usable(spark, sf).select("doc_id", "pos", "sent", F.explode("blanks").alias("b")).select(
         "doc_id", "pos", "sent", "b.start", "b.kind", F.col("b.text").alias("blank"), "b.len"
     )
 
 
-@query("n8_blankable", f"WITH {hits_sql(1)} SELECT doc_id, pos, sent, start, kind, blank FROM v_ok")
+@query("n8_blankable", f"WITH RECURSIVE {hits_sql(1)} SELECT doc_id, pos, sent, start, kind, blank FROM v_ok")
 def n8(spark, sf):
     return _usable(spark, sf).select("doc_id", "pos", "sent", F.explode("choices").alias("b")).select(
         "doc_id", "pos", "sent", "b.start", "b.kind", F.col("b.text").alias("blank")
     )
 
 
-@query("n9_top_blank", f"WITH {hits_sql(3)} SELECT doc_id, pos, sent, CAST(blank_no AS INT) AS blank_no, start, kind, blank FROM v_top")
+@query("n9_top_blank", f"WITH RECURSIVE {hits_sql(3)} SELECT doc_id, pos, sent, CAST(blank_no AS INT) AS blank_no, start, kind, blank FROM v_top")
 def n9(spark, sf):
     return N.top_blanks(_usable(spark, sf), 3).select("doc_id", "pos", "sent", "blank_no", "start", "kind", "blank")
 
@@ -202,7 +194,7 @@ CLOZE = rep(
     f"CASE WHEN {_AFTER} <> '' AND NOT regexp_matches({_AFTER}, '^[{SWS}]') AND NOT regexp_matches({_AFTER}, '^{_PUNCT}') THEN ' ' ELSE '' END || {_AFTER}", " {2,}", " ")
 
 
-@query("n10_cloze", f"""WITH {hits_sql(1)}, c AS (SELECT *, {CLOZE} AS stem FROM v_top)
+@query("n10_cloze", f"""WITH RECURSIVE {hits_sql(1)}, c AS (SELECT *, {CLOZE} AS stem FROM v_top)
 SELECT bank, doc_id, pos, sent, stem, blank AS answer, {sqid('stem')} AS qid, CASE WHEN topic <> '' THEN topic ELSE {stopic('stem')} END AS topic FROM c""")
 def n10(spark, sf):
     return N.cloze_items(_usable(spark, sf)).select(
@@ -217,7 +209,7 @@ p1 AS (SELECT *, row_number() OVER (PARTITION BY bank, key ORDER BY doc_id, pos,
 v_pool AS (SELECT bank, key, blank AS text, kind, CAST(len AS INT) AS len, sha1('{SEED}|' || key) AS h FROM p1 WHERE rn = 1)"""
 
 
-@query("n11_pool", f"WITH {POOL} SELECT bank, key, text, kind, len FROM v_pool")
+@query("n11_pool", f"WITH RECURSIVE {POOL} SELECT bank, key, text, kind, len FROM v_pool")
 def n11(spark, sf):
     return N.distractor_pool(_usable(spark, sf))
 
@@ -232,13 +224,13 @@ nn AS (SELECT it.bank, doc_id, pos, sent, count(*) FILTER (WHERE r.kind = it.kin
 cd AS (SELECT it.*, r.text AS cand, CASE WHEN r.kind = it.kind AND abs(r.len - it.len) <= 3 THEN ((r.kr - 1 - lo - ofs) % n1 + n1) % n1
    ELSE n1 + ((r.br - 1 - ofs) % n2 + n2) % n2 END AS j
   FROM it JOIN nn USING (bank, doc_id, pos, sent) JOIN rk r ON r.bank = it.bank
-  WHERE NOT contains(r.key, own) AND NOT contains(own, r.key) AND NOT contains(packed, r.text)),
+  WHERE NOT contains(r.key, own) AND NOT contains(own, r.key) AND NOT contains(packed, {scompact('r.text')})),
 rd AS (SELECT *, row_number() OVER (PARTITION BY doc_id, pos, sent ORDER BY j) AS rn FROM cd),
 v_dist AS (SELECT bank, doc_id, pos, sent, any_value(blank) AS blank, any_value(start) AS start, any_value(text) AS text, any_value(topic) AS topic,
   list(cand ORDER BY rn) AS ds FROM rd WHERE rn <= 3 GROUP BY bank, doc_id, pos, sent HAVING count(*) = 3)"""
 
 
-@query("n12_distractors", f"WITH {RINGS} SELECT bank, doc_id, pos, sent, blank, array_to_string(ds, '|') AS distractors FROM v_dist")
+@query("n12_distractors", f"WITH RECURSIVE {RINGS} SELECT bank, doc_id, pos, sent, blank, array_to_string(ds, '|') AS distractors FROM v_dist")
 def n12(spark, sf):
     usable = _written(spark, sf)
     ranked = N.rank_pool(N.distractor_pool(usable))
@@ -252,7 +244,7 @@ v_choice AS (SELECT bank, doc_id, pos, sent, {CLOZE} AS stem, 'A. ' || os[1] ||
   substr('ABCD', CAST(list_position(os, blank) AS INT), 1) AS answer FROM co)"""
 
 
-@query("n13_choice_items", f"WITH {CHOICES} SELECT bank, doc_id, pos, sent, stem, options, answer FROM v_choice")
+@query("n13_choice_items", f"WITH RECURSIVE {CHOICES} SELECT bank, doc_id, pos, sent, stem, options, answer FROM v_choice")
 def n13(spark, sf):
     return N.choice_items(_written(spark, sf)).select(
         "bank", "doc_id", "pos", "sent", "stem", options_text(F.col("options")).alias("options"), "answer"
@@ -263,15 +255,19 @@ _RULES = [(" is ", " is not "), (" est ", " n''est pas "), (" ist ", " ist nicht
 _ADD = " ".join(f"WHEN contains(text, '{a}') THEN substr(text, 1, instr(text, '{a}') - 1) || '{b}' || substr(text, instr(text, '{a}') + {len(a)})" for a, b in _RULES)
 _CUT = "instr(text, regexp_extract(text, ' nicht| pas'))"
 MUTATE = hits_sql(1) + f""",
-m0 AS (SELECT doc_id, pos, sent, min("index") AS ni, arg_min(term, "index") AS num FROM v_hits WHERE kind = 'number' GROUP BY doc_id, pos, sent),
-m1 AS (SELECT t.*, ni, TRY_CAST(num AS DECIMAL(38,0)) AS v, length(num) AS nl, sha1('{SEED}|' || text) AS h FROM v_topics t LEFT JOIN m0 USING (doc_id, pos, sent) WHERE reason = ''),
-m2 AS (SELECT *, CASE WHEN substr(h, 9, 1) < '8' THEN v + 1 WHEN v - 1 < 0 THEN v + 1 ELSE v - 1 END AS nv FROM m1),
-v_mut AS (SELECT *, CASE WHEN nv IS NOT NULL THEN substr(text, 1, ni) || CAST(nv AS VARCHAR) || substr(text, ni + nl + 1)
+m0 AS (SELECT doc_id, pos, sent, min("index") AS ni, arg_min(term, "index") AS num FROM v_resolved WHERE kind = 'number' GROUP BY doc_id, pos, sent),
+m1 AS (SELECT t.*, ni, regexp_extract(num, '[0-9]+(\\.[0-9]+)?') AS sample, coalesce(regexp_matches(num, '[%％]'), false) AS pct, sha1('{SEED}|' || text) AS h
+  FROM v_topics t LEFT JOIN m0 USING (doc_id, pos, sent) WHERE reason = ''),
+m2 AS (SELECT *, TRY_CAST(split_part(sample, '.', 1) AS DECIMAL(38,0)) AS v, CASE WHEN pct THEN 10 ELSE 1 END AS size,
+  CASE WHEN contains(sample, '.') THEN '.' || split_part(sample, '.', 2) ELSE '' END AS frac FROM m1),
+m3 AS (SELECT *, v + CASE WHEN substr(h, 9, 1) < '8' THEN size ELSE -size END AS moved FROM m2),
+m4 AS (SELECT *, CASE WHEN moved < 0 OR (pct AND moved = 0 AND NOT regexp_matches(frac, '[1-9]')) THEN v + size ELSE moved END AS nv FROM m3),
+v_mut AS (SELECT *, CASE WHEN nv IS NOT NULL THEN substr(text, 1, ni) || CAST(nv AS VARCHAR) || frac || substr(text, ni + length(sample) + 1)
   WHEN regexp_matches(text, ' nicht| pas') THEN substr(text, 1, {_CUT} - 1) || substr(text, {_CUT} + length(regexp_extract(text, ' nicht| pas')))
-  {_ADD} END AS mutated FROM m2)"""
+  {_ADD} END AS mutated FROM m4)"""
 
 
-@query("n15_mutate", f"WITH {MUTATE} SELECT doc_id, pos, sent, coalesce(mutated, '') AS mutated FROM v_mut")
+@query("n15_mutate", f"WITH RECURSIVE {MUTATE} SELECT doc_id, pos, sent, coalesce(mutated, '') AS mutated FROM v_mut")
 def n15(spark, sf):
     return N.mutate(_usable(spark, sf), LATIN).select("doc_id", "pos", "sent", F.coalesce("mutated", F.lit("")).alias("mutated"))
 
@@ -282,7 +278,7 @@ v_judge AS (SELECT bank, doc_id, pos, sent, CASE WHEN jn % 2 = 0 AND mutated IS
   CASE WHEN jn % 2 = 0 AND mutated IS NOT NULL THEN '错误' ELSE '正确' END AS answer FROM j0)"""
 
 
-@query("n14_judge_items", f"WITH {JUDGES} SELECT * FROM v_judge")
+@query("n14_judge_items", f"WITH RECURSIVE {JUDGES} SELECT * FROM v_judge")
 def n14(spark, sf):
     return N.judge_items(_usable(spark, sf), LATIN).select("bank", "doc_id", "pos", "sent", "stem", "answer")
 
@@ -301,7 +297,7 @@ bk AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bank, kind ORDER
 v_final AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY bank ORDER BY kr, kn) AS ord FROM bk) WHERE ord <= 50)"""
 
 
-@query("n16_balance_cap", f"WITH {ITEMS} SELECT bank, doc_id, pos, sent, kind, qid, ord FROM v_final")
+@query("n16_balance_cap", f"WITH RECURSIVE {ITEMS} SELECT bank, doc_id, pos, sent, kind, qid, ord FROM v_final")
 def n16(spark, sf):
     usable = _written(spark, sf)
     return N.balance(N.all_items(usable, LATIN), usable, 50).select(
@@ -309,14 +305,14 @@ def n16(spark, sf):
     )
 
 
-@query("n17_dedupe", f"""WITH {JUDGES}, i AS (SELECT *, {sqid('stem')} AS qid FROM v_judge),
+@query("n17_dedupe", f"""WITH RECURSIVE {JUDGES}, i AS (SELECT *, {sqid('stem')} AS qid FROM v_judge),
 r AS (SELECT *, row_number() OVER (PARTITION BY bank, qid ORDER BY doc_id, pos, sent) AS u FROM i) SELECT bank, doc_id, pos, sent, qid FROM r WHERE u = 1""")
 def n17(spark, sf):
     items = N.judge_items(_usable(spark, sf), LATIN)
     return N.keep_first(items, ["bank", "qid"], ["doc_id", "pos", "sent"]).select("bank", "doc_id", "pos", "sent", "qid")
 
 
-@query("n18_gen_summary", f"""WITH {ITEMS},
+@query("n18_gen_summary", f"""WITH RECURSIVE {ITEMS},
 a AS (SELECT bank, count(*) AS total, count(*) FILTER (WHERE reason = '') AS usable FROM v_filtered GROUP BY bank),
 b AS (SELECT bank, count(*) AS questions, count(*) FILTER (WHERE kind = 'judge') AS judge, count(*) FILTER (WHERE kind = 'choice') AS choice,
   count(*) FILTER (WHERE kind = 'fill') AS fill, count(DISTINCT (doc_id, pos, sent)) AS used FROM v_final GROUP BY bank)
