@@ -305,6 +305,14 @@ def n16(spark, sf):
     )
 
 
+@query("n_generate", f"WITH RECURSIVE {ITEMS} SELECT bank, doc_id, pos, sent, kind, stem, qid, ord FROM v_final")
+def n_generate(spark, sf):
+    """The path a user calls, from lines to items."""
+    return N.generate(_lines(spark, sf), 50, lexicon=LATIN).select(
+        "bank", "doc_id", "pos", "sent", "kind", "stem", "qid", F.col("ord").cast("bigint").alias("ord")
+    )
+
+
 @query("n17_dedupe", f"""WITH RECURSIVE {JUDGES}, i AS (SELECT *, {sqid('stem')} AS qid FROM v_judge),
 r AS (SELECT *, row_number() OVER (PARTITION BY bank, qid ORDER BY doc_id, pos, sent) AS u FROM i) SELECT bank, doc_id, pos, sent, qid FROM r WHERE u = 1""")
 def n17(spark, sf):
