@@ -6,7 +6,9 @@ import sys
 import types
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,8 +63,19 @@ def worker_memo(name: str) -> dict:
     return holder.__dict__.setdefault(name, {})
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that the Python copies of texts stay few."""
+#: Texts of a slice come to this many bytes at most, and what its last text has beyond.
+SLICE_BYTES = 2 << 20
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, bounded in rows and bytes, so that the Python copies of texts stay few."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        lengths = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                lengths += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        begin = (np.cumsum(lengths) - lengths) // size
+        bounds = [*np.flatnonzero(np.append(True, begin[1:] != begin[:-1])[: batch.num_rows]).tolist(), batch.num_rows]
+        for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+            for start in range(first, last, rows):
+                yield batch.slice(start, min(rows, last - start))

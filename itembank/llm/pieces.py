@@ -112,7 +112,7 @@ class Pieces:
         for b, i in self.bytes.items():
             self.spelling[i] = bytes([b])
         self.kind = "<u2" if size <= 1 << 16 else "<u4"
-        self.memo = Memo(f"pieces:{path}")
+        self.memo = Memo(f"pieces:{path}", 24 << 20)
         self.runs = re.compile(r" *[^ \n]+|\n| +")
 
     def _segment(self, text: str) -> bytes:
@@ -140,8 +140,8 @@ class Pieces:
         segments: set[str] = set()
         for parts in cut:
             segments.update(parts)
-        for segment in self.memo.missing(segments):
-            young[segment] = self._segment(segment)
+        rest = self.memo.missing(segments)
+        self.memo.add(rest, [self._segment(segment) for segment in rest])
         of = young.__getitem__
         return [b"".join(map(of, parts)) for parts in cut]
 

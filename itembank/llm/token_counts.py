@@ -46,19 +46,20 @@ class Counter:
         self.whole, self.words = proofs[path], regex.compile(WORD_PATTERN).findall
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def _learn(self, chunks: set[str], young: dict) -> None:
-        rest = []
+    def _learn(self, chunks: set[str]) -> None:
+        rest, proved = [], []
         for chunk in self.memo.missing(chunks):
             if chunk.isascii() and not any(s in chunk for s in self.special):
                 words = self.words(chunk.lower())
                 if self.whole.issuperset(words):
-                    young[chunk] = len(words)
+                    proved.append((chunk, len(words)))
                     continue
             rest.append(chunk)
+        self.memo.add([c for c, _ in proved], [n for _, n in proved])
         for start in range(0, len(rest), 10_000):
             part = rest[start : start + 10_000]
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            young.update((c, len(e.ids)) for c, e in zip(part, found, strict=True))
+            self.memo.add(part, [len(e.ids) for e in found])
 
     def count(self, texts: list[str]) -> list[int]:
         young = self.memo.young()
@@ -66,7 +67,7 @@ class Counter:
         chunks: set[str] = set()
         for parts in cut:
             chunks.update(parts)
-        self._learn(chunks, young)
+        self._learn(chunks)
         of = young.__getitem__
         return [sum(map(of, parts)) for parts in cut]
 

@@ -6,11 +6,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from itembank.llm import fingerprints, pieces, token_counts, token_files
+from itembank.llm.common import slices
 from itembank.llm.tokenizer_files import ByteLevelEncoder
 from itembank.session import scratch_path
 
@@ -57,6 +59,25 @@ def test_chunked_encoding_equals_whole_texts():
         assert np.frombuffer(ids, "<u2").tolist() == e.ids, repr(text)
 
 
+def test_runs_of_white_space_and_a_full_memo(monkeypatch):
+    bits = ["a", "the", "don't", "'s", "12", "é", "中文", "…", "!??", " ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\xa0", "\u3000", "\x85", "\x1c", "\x0b", "😀", "Hello"]
+    rnd, encoder = random.Random(5), ByteLevelEncoder(BYTES, 2)
+    monkeypatch.setattr("itembank.llm.tokenizer_files.MEMO_BYTES", 2000)
+    for _ in range(300):
+        texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(25))) for _ in range(5)]
+        expected = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(texts)] == expected
+    assert encoder.memo.state["size"] < 20_000
+
+
+def test_slices_are_bounded_in_rows_and_bytes():
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(7)), "text": ["x" * n for n in (0, 30, 50, 500, 10, 10, 10)]})
+    parts = list(slices([batch, batch.slice(0, 0)], rows=2, size=100))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    assert all(p.num_rows <= 2 and (p.num_rows == 1 or sum(map(len, p.column("text").to_pylist())) <= 600) for p in parts)
+    assert sum(p.num_rows for p in slices([batch.slice(2, 4)], size=100)) == 4
+
+
 def test_counts_equal_the_library(docs):
     tokenizer = Tokenizer.from_file(WORDS)
     expected = []
