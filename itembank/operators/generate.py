@@ -3,8 +3,8 @@
 Sentences, key terms and blanks are worked out inside the row. Only four things move data: counting
 repeated header lines, carrying headings over a document, the pool of distractors, and the caps.
 Distractors come from rings: the pool of a bank is ranked once, every item starts at a place given by
-its own hash and joins the next few ranks by equality. Items not served by the first window take a
-wider one, up to the whole ring, so nothing is cut off and no item meets the whole pool unless it must.
+its own hash and joins the next few ranks by equality. Items not served by the first window are looked
+up in an index of substrings: those that nothing can serve go, the others walk on, so nothing is cut off.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from itembank.constants import FALSE_WORD, JUDGE, SINGLE, TRUE_WORD
 from itembank.functions.questions import question_id
 from itembank.functions.text import BULLETS, NUMBERING, WS, compact, compact_len, extract_topic, extract_year, normalize_stem, normalize_whitespace, strip_bullets, sub, trim_ws
-from itembank.operators.ordering import first_rows, keep_first, ordinal
+from itembank.operators.ordering import first_rows, join_null_safe, keep_first, ordinal
 from itembank.operators.segment import staged
 from itembank.session import materialize
 
@@ -365,50 +365,88 @@ def rank_pool(pool: DataFrame, seed: int = SEED) -> DataFrame:
     return ordinal(by_kind, ["bank"], F.substring("_h", 1, 3), ["_h", "key"], "bank_rank").drop("_h")
 
 
-def pick_distractors(items: DataFrame, ranked: DataFrame, seed: int = SEED, window: int = 16) -> DataFrame:
+def _substrings(text: str, most: str) -> str:
+    """The distinct substrings of a text of at most so many characters."""
+    return f"""array_distinct(flatten(transform(sequence(1, length({text})), i ->
+        transform(sequence(1, least({most}, length({text}) - i + 1)), l -> substring({text}, i, l)))))"""
+
+
+def servable(items: DataFrame, ranked: DataFrame) -> DataFrame:
+    """Those of the items (with own_key, packed and n2) that have three distractors at all, found without a walk.
+
+    Pool keys are short, so their substrings, counted once, tell how many keys contain an
+    answer; keys that an answer or a sentence contains are met by equality with its own
+    substrings. What the pool has beyond these fits.
+    """
+    pool = ranked.select("bank", "key", compact(F.col("text")).alias("spelling"))
+    wanted = items.select("bank", F.col("own_key").alias("sub")).distinct()
+    parts = pool.selectExpr("bank", f"explode({_substrings('key', 'length(key)')}) AS sub")
+    around = join_null_safe(parts, wanted, ["bank", "sub"], "left_semi").groupBy("bank", "sub").agg(F.count("*").alias("_around"))
+    inner = items.select(*SENT, "blank_no", "own_key", "packed")
+    by_key = inner.filter("own_key <> ''").selectExpr("*", f"explode({_substrings('own_key', 'length(own_key)')}) AS key")
+    by_text = inner.filter("packed <> ''").selectExpr("*", f"explode({_substrings('packed', str(MAX_BLANK))}) AS spelling")
+    met = join_null_safe(by_key, pool.select("bank", "key"), ["bank", "key"]).select(*SENT, "blank_no", "own_key", "key").unionByName(
+        join_null_safe(by_text, pool, ["bank", "spelling"]).select(*SENT, "blank_no", "own_key", "key")
+    )
+    inside = met.distinct().filter(~F.contains("key", F.col("own_key"))).groupBy(*SENT, "blank_no").agg(F.count("*").alias("_inside"))
+    told = join_null_safe(items, around.withColumnRenamed("sub", "own_key"), ["bank", "own_key"], "left")
+    told = join_null_safe(told, inside, [*SENT, "blank_no"], "left")
+    fit = F.col("n2") - F.coalesce("_around", F.lit(0)) - F.coalesce("_inside", F.lit(0))
+    return told.filter((F.col("own_key") != "") & (fit >= DISTRACTORS)).select(*items.columns)
+
+
+def pick_distractors(items: DataFrame, ranked: DataFrame, seed: int = SEED, window: int = 16, widest: int = 4096) -> DataFrame:
     """Three distractors for every item that has them: (item columns, distractors).
 
     Same kind and similar length come first, in ring order from the item's own start; then the
     whole bank, likewise. A candidate must differ from the answer, neither may contain the other,
-    and it must not occur in the sentence.
+    and it must not occur in the sentence. Items still short after the first window are tested
+    for servability and go on from where they stopped, by windows of ``widest`` candidates at most.
     """
     id_cols = [*SENT, "blank_no"]
+    ranked = materialize(ranked, "ring")
     lens = ranked.groupBy("bank", "kind", "len").agg(F.count("*").alias("n"))
     sizes = lens.groupBy("bank", "kind").agg(F.collect_list(F.struct("len", "n")).alias("_lens"))
     totals = lens.groupBy("bank").agg(F.sum("n").alias("n2"))
     todo = (
-        items.join(sizes, ["bank", "kind"]).join(totals, "bank")
+        join_null_safe(join_null_safe(items, totals, ["bank"]), sizes, ["bank", "kind"], "left")
+        .withColumn("_lens", F.coalesce("_lens", F.expr("cast(array() as array<struct<len:int,n:bigint>>)")))
         .withColumn("lo", F.expr(f"aggregate(_lens, 0L, (s, x) -> s + if(x.len < len - {LEN_TOLERANCE}, x.n, 0L))"))
         .withColumn("n1", F.expr(f"aggregate(_lens, 0L, (s, x) -> s + if(abs(x.len - len) <= {LEN_TOLERANCE}, x.n, 0L))"))
         .withColumn("at", hash_int(F.lit(str(seed)), *[F.col(c).cast("string") for c in id_cols]))
         .drop("_lens")
     )
     todo = staged(todo, own_key=normalize_stem(F.col("blank")), packed=compact(F.col("text")))
-    done, cut = None, window
+    todo = todo.withColumn("got", F.expr("cast(array() as array<string>)"))
+    done, start, cut = None, 0, window
     while True:
-        found = _ring_window(todo, ranked, cut, id_cols)
-        state = todo.join(found, id_cols, "left").withColumn("_got", F.coalesce(F.size("distractors"), F.lit(0)))
-        state = materialize(state, "distractors")
-        full = state.filter(F.col("_got") >= DISTRACTORS).select(*items.columns, "distractors")
+        found = _ring_window(todo, ranked, start, cut, id_cols)
+        state = join_null_safe(todo, found, id_cols, "left").withColumn(
+            "got", F.expr(f"slice(concat(got, coalesce(more, cast(array() as array<string>))), 1, {DISTRACTORS})")
+        )
+        state = materialize(state.drop("more"), "distractors")
+        full = state.filter(F.size("got") >= DISTRACTORS).select(*items.columns, F.col("got").alias("distractors"))
         done = full if done is None else done.unionByName(full)
-        left = state.filter((F.col("_got") < DISTRACTORS) & (F.col("n1") + F.col("n2") > cut)).select(*todo.columns)
+        start, first = start + cut, start == 0
+        cut = min(cut * 4, widest)
+        left = state.filter((F.size("got") < DISTRACTORS) & (F.col("n1") + F.col("n2") > start))
         if left.isEmpty():
             return done
-        todo, cut = left, cut * 4
+        todo = materialize(servable(left, ranked), "servable") if first else left
 
 
-def _ring_window(todo: DataFrame, ranked: DataFrame, cut: int, id_cols: list[str]) -> DataFrame:
-    """The first distractors among the next ``cut`` candidates of each item."""
-    slots = todo.withColumn("j", F.explode(F.expr(f"sequence(0L, least({cut}L, n1 + n2) - 1)"))).withColumn(
-        "tier", F.when(F.col("j") < F.col("n1"), 1).otherwise(2)
-    )
+def _ring_window(todo: DataFrame, ranked: DataFrame, start: int, cut: int, id_cols: list[str]) -> DataFrame:
+    """more: the first distractors among the ``cut`` candidates of each item from ``start`` on."""
+    slots = todo.filter(F.col("n1") + F.col("n2") > start).withColumn(
+        "j", F.explode(F.expr(f"sequence({start}L, least({start + cut}L, n1 + n2) - 1)"))
+    ).withColumn("tier", F.when(F.col("j") < F.col("n1"), 1).otherwise(2))
     near = slots.filter("tier = 1").withColumn("kind_rank", F.expr("lo + (at + j) % n1 + 1"))
     far = slots.filter("tier = 2").withColumn("bank_rank", F.expr("(at + j - n1) % n2 + 1"))
     p = ranked.select("bank", "key", F.col("text").alias("cand"), F.col("kind").alias("cand_kind"), F.col("len").alias("cand_len"), "kind_rank", "bank_rank")
-    a = near.join(
-        p.withColumnRenamed("cand_kind", "kind").drop("bank_rank"), ["bank", "kind", "kind_rank"]
-    ).select(*id_cols, "j", "own_key", "packed", "key", "cand")
-    b = far.join(p.drop("kind_rank"), ["bank", "bank_rank"]).filter(
+    a = join_null_safe(near, p.withColumnRenamed("cand_kind", "kind").drop("bank_rank"), ["bank", "kind", "kind_rank"]).select(
+        *id_cols, "j", "own_key", "packed", "key", "cand"
+    )
+    b = join_null_safe(far, p.drop("kind_rank"), ["bank", "bank_rank"]).filter(
         ~((F.col("cand_kind") == F.col("kind")) & (F.abs(F.col("cand_len") - F.col("len")) <= LEN_TOLERANCE))
     ).select(*id_cols, "j", "own_key", "packed", "key", "cand")
     fit = (
@@ -416,7 +454,7 @@ def _ring_window(todo: DataFrame, ranked: DataFrame, cut: int, id_cols: list[str
     )
     return (
         a.unionByName(b).filter(fit).groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct("j", "cand"))).alias("_c"))
-        .select(*id_cols, F.expr(f"transform(slice(_c, 1, {DISTRACTORS}), c -> c.cand)").alias("distractors"))
+        .select(*id_cols, F.expr(f"transform(slice(_c, 1, {DISTRACTORS}), c -> c.cand)").alias("more"))
     )
 
 

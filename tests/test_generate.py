@@ -1,5 +1,8 @@
 """Knowledge text in, items out."""
 
+import hashlib
+import random
+
 from itembank.operators import generate as N
 
 SCHEMA = "bank string, doc_id bigint, pos int, page int, line int, para int, text string"
@@ -85,3 +88,45 @@ def test_overlap_free_and_reproducible(spark):
     for r in usable(spark, POOL).collect():
         spans = sorted((h["index"], h["index"] + len(h["term"])) for h in r["hits"])
         assert all(x[1] <= y[0] for x, y in zip(spans, spans[1:], strict=False))
+
+
+def _picks_by_hand(pool, items):
+    """Reads the rules one by one: (pos, distractors) of every item that has three."""
+    ring = sorted((hashlib.sha1(f"{N.SEED}|{k}".encode()).hexdigest(), k, kind) for k, kind in pool)
+    out = {}
+    for bank, doc, pos, sent, no, kind, blank, text in items:
+        near = [k for _, h, k in sorted((len(k), h, k) for h, k, c in ring if c == kind and abs(len(k) - len(blank)) <= N.LEN_TOLERANCE)]
+        names = [str(N.SEED), *([] if bank is None else [bank]), str(doc), str(pos), str(sent), str(no)]
+        at = int(hashlib.sha1("|".join(names).encode()).hexdigest()[:8], 16)
+        all_ = [k for _, k, _ in ring]
+        walk = [near[(at + j) % len(near)] for j in range(len(near))] + [all_[(at + j) % len(all_)] for j in range(len(all_))]
+        fit = [k for k in dict.fromkeys(walk) if k not in blank and blank not in k and k not in text]
+        if len(fit) >= 3:
+            out[pos] = fit[:3]
+    return out
+
+
+def test_distractors_equal_a_plain_reading(spark):
+    """Answers that nearly every pool term contains, sentences that hold most terms, a kind without a pool, and a null bank."""
+    rnd = random.Random(3)
+    terms = sorted({"x" + "".join(rnd.choice("abcd") for _ in range(rnd.randint(1, 6))) for _ in range(500)}) + ["q", "rst", "uv", "wyz"]
+    pool = [(t, rnd.choice(["term", "name"])) for t in terms]
+    for bank in ("b", None):
+        items = [(bank, 1, p, 0, 0, rnd.choice(["term", "name", "en"]), rnd.choice(["x", "x", "q", "xa", *terms]), "zz" + "".join(rnd.sample(terms, 3))) for p in range(60)]
+        items += [(bank, 1, 60 + p, 0, 0, "term", "x", f"{p}qrstuv") for p in range(20)] + [(bank, 1, 80, 0, 0, "term", "x", "-".join(["q", "rst"]))]
+        ranked = N.rank_pool(spark.createDataFrame([(bank, t, t, k, len(t)) for t, k in pool], "bank string, key string, text string, kind string, len int"))
+        df = spark.createDataFrame([(*i[:7], len(i[6]), i[7]) for i in items], "bank string, doc_id bigint, pos int, sent int, blank_no int, kind string, blank string, len int, text string")
+        found = {r.pos: list(r.distractors) for r in N.pick_distractors(df, ranked, window=4, widest=64).collect()}
+        assert found == _picks_by_hand(pool, items)
+        assert 60 not in found and len(found) > 40
+
+
+def test_items_without_distractors_do_not_walk(spark, monkeypatch):
+    """200 answers that each of 20,000 terms contains go after the first window."""
+    terms = [f"x{k:05d}" for k in range(20_000)]
+    ranked = N.rank_pool(spark.createDataFrame([("b", t, t, "term", 6) for t in terms], "bank string, key string, text string, kind string, len int"))
+    df = spark.createDataFrame([("b", 1, p, 0, 0, "term", "x", 1, f"sentence {p}") for p in range(200)], "bank string, doc_id bigint, pos int, sent int, blank_no int, kind string, blank string, len int, text string")
+    walked, window = [], N._ring_window
+    monkeypatch.setattr(N, "_ring_window", lambda todo, *args: walked.append(todo.count()) or window(todo, *args))
+    assert N.pick_distractors(df, ranked).count() == 0
+    assert [n for n in walked if n] == [200]
