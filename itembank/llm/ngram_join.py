@@ -33,15 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from itembank.llm.common import documents, slices, whole_text
+from itembank.llm.common import documents, join_back, slices, whole_text
 from itembank.llm.shingle_sets import set_key, shingle_sets, short_key
 from itembank.session import materialize
 
 #: Two documents link when 100 * |A and B| >= PERCENT * |A or B|.
 PERCENT = 80
-#: Shingles in many documents come last in the global order. At most HEAVY of them are told to the
-#: tasks (16 bytes each); any order is exact, this one keeps regions small.
-HEAVY, HEAVY_LEAST, HEAVY_SEEN = 1 << 18, 16, 2
+#: Shingles are counted in so many buckets (a power of two near the number of rows, within these bits),
+#: 4 bytes each: the counts that every task is told are 16 MB at most. Any order is exact, this one keeps regions small.
+LEAST_BITS, MOST_BITS = 14, 22
+#: Buckets of a row of counts.
+BLOCK = 1 << 12
 #: Regions up to this size compare their documents directly, larger ones through their pivots.
 SMALL_REGION = 128
 
@@ -51,81 +53,69 @@ def _need(n):
     return (PERCENT * n + 99) // 100
 
 
-def first_pass(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, key, id) of every row, id being the short key, and (h, seen) of shingles seen several times in a task's batch."""
+def first_pass(docs: DataFrame, bits: int) -> DataFrame:
+    """(doc_id, n, key, id) of every row, id being the short key, and (block, counts) of the shingles of each task by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.uint32)
         for batch in slices(batches):
             sets = shingle_sets(batch.column("text").to_pylist())
-            every = np.sort(np.concatenate(sets)) if sets else np.empty(0, np.uint64)
-            heads = np.flatnonzero(np.append(True, every[1:] != every[:-1])) if len(every) else np.empty(0, np.int64)
-            seen = np.diff(np.append(heads, len(every)))
-            often = seen >= HEAVY_SEEN
-            h, seen = every[heads[often]].view(np.int64), seen[often]
+            for at in range(0, len(sets), 100):
+                every = np.concatenate(sets[at : at + 100])
+                np.add.at(counts, (every >> np.uint64(64 - bits)).astype(np.int64), np.uint32(1))
             keys = [set_key(s) for s in sets]
-            blank, gap = pa.nulls(len(sets), pa.int64()), len(h)
             yield pa.RecordBatch.from_pydict({
-                "doc_id": pa.concat_arrays([batch.column("doc_id"), pa.nulls(gap, pa.int64())]),
-                "n": pa.concat_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.nulls(gap, pa.int64())]),
-                "key": pa.array(keys + [None] * gap, pa.binary()),
-                "id": pa.array([short_key(k) for k in keys] + [None] * gap, pa.int64()),
-                "h": pa.concat_arrays([blank, pa.array(h)]),
-                "seen": pa.concat_arrays([blank, pa.array(seen, pa.int64())]),
+                "doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64()),
+                "key": pa.array(keys, pa.binary()), "id": pa.array([short_key(k) for k in keys], pa.int64()),
+                "block": pa.nulls(len(sets), pa.int32()), "counts": pa.nulls(len(sets), pa.binary()),
+            })
+        blocks = [(k, c) for k, c in enumerate(counts.reshape(-1, BLOCK)) if c.any()]
+        for k, c in blocks:
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "key": pa.nulls(1, pa.binary()), "id": pa.nulls(1, pa.int64()),
+                "block": pa.array([k], pa.int32()), "counts": pa.array([c.tobytes()], pa.binary()),
             })
 
-    return materialize(docs.mapInArrow(run, "doc_id long, n long, key binary, id long, h long, seen long"), "sets")
+    return materialize(docs.mapInArrow(run, "doc_id long, n long, key binary, id long, block int, counts binary"), "sets")
 
 
-def _heavy(first: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, sorted, and their counts: at most HEAVY rows."""
-    counts = first.where("h IS NOT NULL").groupBy("h").agg(F.sum("seen").alias("seen")).where(F.col("seen") >= HEAVY_LEAST)
-    rows = counts.orderBy(F.col("seen").desc(), "h").limit(HEAVY).toArrow()
-    h = rows.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    return h[order], rows.column("seen").to_numpy()[order]
+def bucket_counts(first: DataFrame, bits: int) -> np.ndarray:
+    """The counts of all tasks summed up, one bucket after the other; a task adds up blocks as they stream by."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, c in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(c, np.uint32).astype(np.int64)
+        for k, c in total.items():
+            yield pa.RecordBatch.from_pydict({
+                "block": pa.array([k], pa.int32()), "counts": pa.array([np.minimum(c, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary()),
+            })
 
-def _crowded(region: DataFrame, heavy: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """heavy and seen with the shingles of large regions, at most HEAVY more, by their true sizes."""
-    large = region.groupBy("s").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > SMALL_REGION)
-    rows = large.orderBy(F.col("m").desc(), "s").limit(HEAVY).toArrow()
-    known = dict(zip(heavy.tolist(), seen.tolist(), strict=True))
-    known.update(zip(rows.column("s").to_numpy().view(np.uint64).tolist(), rows.column("m").to_numpy().tolist(), strict=True))
-    h = np.array(sorted(known), np.uint64)
-    return h, np.array([known[x] for x in h.tolist()], np.int64)
+    told = first.where("block IS NOT NULL").select("block", "counts").repartition("block").mapInArrow(run, "block int, counts binary").toArrow()
+    counts = np.zeros((1 << bits) // BLOCK * BLOCK, np.uint32).reshape(-1, BLOCK)
+    for k, c in zip(told.column("block").to_pylist(), told.column("counts").to_pylist(), strict=True):
+        counts[k] = np.frombuffer(c, np.uint32)
+    return counts.reshape(-1)
 
 
 class _Order:
-    """The global order of shingles: those not known as heavy by hash, then the heavy ones by frequency."""
+    """The global order of shingles: by the count of their bucket, then by hash."""
 
-    def __init__(self, heavy: np.ndarray, seen: np.ndarray):
-        self.heavy, self.seen = heavy, seen
-        self.maybe = np.zeros(1 << 22, bool)
-        self.maybe[heavy >> np.uint64(42)] = True
+    def __init__(self, counts: np.ndarray):
+        self.counts, self.shift = counts, np.uint64(64 - (len(counts).bit_length() - 1))
 
     def prefix(self, hashes: np.ndarray) -> np.ndarray:
         size = len(hashes) - _need(len(hashes)) + 1
-        at = np.flatnonzero(self.maybe[hashes >> np.uint64(42)])
-        if not len(at):
-            return hashes[:size]
-        place = np.minimum(np.searchsorted(self.heavy, hashes[at]), len(self.heavy) - 1)
-        known = self.heavy[place] == hashes[at]
-        light = np.delete(hashes, at[known])
-        if len(light) >= size:
-            return light[:size]
-        late = hashes[at[known]]
-        rank = np.lexsort((late, self.seen[place[known]]))
-        return np.concatenate([light, late[rank[: size - len(light)]]])
-
-
-def prefix_rows(docs: DataFrame, heavy: np.ndarray, seen: np.ndarray) -> DataFrame:
+        return hashes[np.argsort(self.counts[(hashes >> self.shift).astype(np.int64)], kind="stable")[:size]]
+
+
+def prefix_rows(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """(s, id, n): each row's prefix shingles with the short key and size of its set."""
-    if not len(heavy):
-        heavy, seen = np.array([0], np.uint64), np.array([0])
-    told = docs.sparkSession.sparkContext.broadcast((heavy, seen))
+    told = docs.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        order = _Order(*told.value)
+        order = _Order(told.value)
         for batch in slices(batches):
             sets = [s for s in shingle_sets(batch.column("text").to_pylist()) if len(s)]
             if not sets:
@@ -382,16 +372,11 @@ def similar_components(docs: DataFrame) -> DataFrame:
 
 
 def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, key) of every row, and (key, component_id, lead) of every set: lead is the least key of its component."""
-    first = first_pass(docs)
+    """(doc_id, n, key) of every row, and (key, copies, component_id, lead) of every set: lead is the least key of its component."""
+    bits = min(MOST_BITS, max(LEAST_BITS, docs.count().bit_length()))
+    first = first_pass(docs, bits)
     rows = first.where("key IS NOT NULL").select("doc_id", "n", "key")
-    heavy = _heavy(first)
-    region = regions(prefix_rows(docs, *heavy))
-    # shingles that the batches of a task did not show to be frequent crowd regions: with them last, most regions are small
-    later = _crowded(region, *heavy)
-    if len(later[0]) > len(heavy[0]):
-        region = regions(prefix_rows(docs, *later))
-
+    region = regions(prefix_rows(docs, bucket_counts(first, bits)))
     pairs = materialize(central_pairs(region), "central-pairs")
     sets = candidate_sets(docs, first, _ids(pairs))
     tested = distances(pairs, sets)
@@ -411,19 +396,21 @@ def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = within_cells(cell, sets, roots).join(tested.select("a", "b"), ["a", "b"], "left_anti")
         tested = tested.unionByName(distances(pairs, sets))
         roots = components(tested.where("linked").select("a", "b"))
-    nodes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"))
+    nodes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     linked = sets.select("id", "key").join(roots, "id").select("key", "root").distinct()
     named = nodes.join(linked, "key")
     tops = named.groupBy("root").agg(F.min("least").alias("top"), F.min("key").alias("lead"))
     tops = named.join(tops, "root").select("key", "top", "lead")
-    return rows, nodes.join(tops, "key", "left").select("key", F.coalesce("top", "least").alias("component_id"), F.coalesce("lead", "key").alias("lead"))
+    named = nodes.join(tops, "key", "left").select("key", "copies", F.coalesce("top", "least").alias("component_id"), F.coalesce("lead", "key").alias("lead"))
+    return rows, materialize(named, "components")
 
 
 def _numbered(rows: DataFrame, named: DataFrame) -> DataFrame:
-    """Each row with the smallest doc_id of its component."""
-    return rows.join(named.select("key", "component_id"), "key", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    """Each row with the smallest doc_id of its component; sets in many rows meet theirs without a shuffle."""
+    sets = named.select("key", "copies", "component_id")
+    told = join_back(rows.where("n > 0"), sets, ["key"], "copies", rows.count())
+    alone = rows.where("n = 0").withColumn("component_id", F.col("doc_id"))
+    return told.unionByName(alone).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
@@ -440,7 +427,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
         return pd.Series([set_key(s) for s in shingle_sets(texts.tolist())], dtype=object)
 
     rows, named = _named(documents(docs))
-    named = materialize(named, "components")
     gone = _numbered(rows, named).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
     gone = materialize(gone, "copies")
     doc_id = F.col("doc_id").cast("long")

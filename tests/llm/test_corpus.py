@@ -70,7 +70,7 @@ def near_copies(seed, n_groups=6):
 def test_components_equal_brute_force(spark, monkeypatch, seed, region):
     # the second run drives every region through pivots and cells
     monkeypatch.setattr(ngram_join, "SMALL_REGION", region)
-    monkeypatch.setattr(ngram_join, "HEAVY_LEAST", 4 if region == 64 else 10**9)
+    monkeypatch.setattr(ngram_join, "MOST_BITS", 22 if region == 64 else 12)
     rows = near_copies(seed)
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n", F.lit("x")).withColumn("key", F.lit(1)).withColumn("id", F.lit(2))
     found = sorted(map(tuple, ngram_join.similar_components(docs).collect()), key=str)
