@@ -361,8 +361,8 @@ def hash_int(*cols: Column) -> Column:
 def rank_pool(pool: DataFrame, seed: int = SEED) -> DataFrame:
     """Places of a pool term on its two rings: (bank, kind) by length and hash, and bank by hash."""
     hashed = pool.withColumn("_h", F.sha1(F.concat_ws("|", F.lit(str(seed)), "key")))
-    by_kind = ordinal(hashed, ["bank", "kind"], F.struct("len", F.substring("_h", 1, 2)), ["len", "_h", "key"], "kind_rank")
-    return ordinal(by_kind, ["bank"], F.substring("_h", 1, 3), ["_h", "key"], "bank_rank").drop("_h")
+    by_kind = ordinal(hashed, ["bank", "kind"], ["len", "_h", "key"], "kind_rank")
+    return ordinal(by_kind, ["bank"], ["_h", "key"], "bank_rank").drop("_h")
 
 
 def _substrings(text: str, most: str) -> str:
@@ -540,8 +540,8 @@ def mutate(df: DataFrame, lexicon: Lexicon | None = None, seed: int = SEED) -> D
 
 
 def sentence_numbers(usable: DataFrame, name: str = "n") -> DataFrame:
-    """Number the sentences of a bank in document order, chunked by document range."""
-    return ordinal(usable, ["bank"], F.floor(F.col("doc_id") / 64), ["doc_id", "pos", "sent"], name)
+    """Number the sentences of a bank in document order."""
+    return ordinal(usable, ["bank"], ["doc_id", "pos", "sent"], name)
 
 
 def judge_items(usable: DataFrame, lexicon: Lexicon | None = None, seed: int = SEED) -> DataFrame:

@@ -1,8 +1,8 @@
 """Orderings and question picking.
 
 Every mode yields the chosen questions of each bank with their position. With a limit the rows are
-trimmed per task before any shuffle; without one the positions come from chunked numbering, so
-that a very large bank is not sorted by a single task.
+trimmed per task before any shuffle; without one the positions come from ranges of the order,
+so that a very large bank is not sorted by a single task.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from itembank.functions.review import is_due
 from itembank.operators.ordering import first_rows, ordinal
 
-_ID_RANGE = 4096
-
 
 def shuffle_key(seed: int | str, *cols: str) -> Column:
     """A reproducible pseudo-random sort key that does not depend on the partitioning."""
@@ -26,38 +24,24 @@ def _overdue(today: Column) -> Column:
     return F.coalesce(F.datediff(F.col("next_review"), today), F.lit(-2147483648))
 
 
-def _due_keys(today: Column) -> tuple[Column, list[Column]]:
-    chunk = F.struct(F.col("stage").alias("a"), _overdue(today).alias("b"))
-    return chunk, [F.asc("stage"), _overdue(today).asc(), F.desc("wrong_count"), F.asc("qid")]
-
-
-def _retry_keys() -> tuple[Column, list[Column]]:
-    chunk = F.struct(
-        (-F.col("wrong_count")).alias("a"), F.col("stage").alias("b"), F.date_trunc("month", F.col("added_at")).alias("c")
-    )
-    return chunk, [F.desc("wrong_count"), F.asc("stage"), F.asc("added_at"), F.asc("qid")]
-
-
-def _bank_keys() -> tuple[Column, list[Column]]:
-    return F.floor(F.col("ord") / _ID_RANGE), [F.asc("ord")]
+def _due_order(today: Column) -> list[Column]:
+    return [F.asc("stage"), _overdue(today).asc(), F.desc("wrong_count"), F.asc("qid")]
 
 
-def _random_keys(seed: int | str) -> tuple[Column, list[Column]]:
-    key = shuffle_key(seed, "bank", "qid")
-    return F.substring(key, 1, 3), [key.asc(), F.asc("qid")]
+def _retry_order() -> list[Column]:
+    return [F.desc("wrong_count"), F.asc("stage"), F.asc("added_at"), F.asc("qid")]
 
 
-def _year_keys() -> tuple[Column, list[Column]]:
-    year = F.coalesce(F.col("year"), F.lit(2147483647))
-    return F.struct(year.alias("a"), F.floor(F.col("ord") / _ID_RANGE).alias("b")), [year.asc(), F.asc("ord")]
+def _random_order(seed: int | str) -> list[Column]:
+    return [shuffle_key(seed, "bank", "qid").asc(), F.asc("qid")]
 
 
 def due_rank(book: DataFrame, today: Column) -> DataFrame:
-    return ordinal(book, ["bank"], *_due_keys(today))
+    return ordinal(book, ["bank"], _due_order(today))
 
 
 def retry_rank(book: DataFrame) -> DataFrame:
-    return ordinal(book, ["bank"], *_retry_keys())
+    return ordinal(book, ["bank"], _retry_order())
 
 
 def due_records(book: DataFrame, today: Column) -> DataFrame:
@@ -65,7 +49,7 @@ def due_records(book: DataFrame, today: Column) -> DataFrame:
 
 
 def shuffled(questions: DataFrame, seed: int | str) -> DataFrame:
-    return ordinal(questions, ["bank"], *_random_keys(seed))
+    return ordinal(questions, ["bank"], _random_order(seed))
 
 
 def pick_questions(
@@ -90,20 +74,21 @@ def pick_questions(
         records = due_records(wrong, today) if mode == "due" else wrong
         # records stay when their question is gone after a re-import
         rows = records.select("bank", "qid", "stage", "next_review", "wrong_count", "added_at").join(questions, ["bank", "qid"], "left")
-        chunk, order = _due_keys(today) if mode == "due" else _retry_keys()
+        order = _due_order(today) if mode == "due" else _retry_order()
     elif mode == "favorite":
-        rows = questions.join(favorites.select("bank", "qid"), ["bank", "qid"], "left_semi")
-        chunk, order = F.substring("qid", 1, 2), [F.asc("qid")]
+        # a favourite stays in its place when its question is gone
+        rows = favorites.select("bank", "qid").distinct().join(questions, ["bank", "qid"], "left")
+        order = [F.asc("qid")]
     elif mode in ("random", "typeRandom"):
-        rows, (chunk, order) = questions, _random_keys(seed)
+        rows, order = questions, _random_order(seed)
     elif mode == "typeYear":
-        rows, (chunk, order) = questions, _year_keys()
+        rows, order = questions, [F.asc_nulls_last("year"), F.asc("ord")]
     elif mode in ("order", "typeOrder"):
-        rows, (chunk, order) = questions, _bank_keys()
+        rows, order = questions, [F.asc("ord")]
     else:
         raise ValueError(f"unknown practice mode {mode!r}")
     if limit > 0:
         picked = first_rows(rows, ["bank"], order, limit, "position")
     else:
-        picked = ordinal(rows, ["bank"], chunk, order, "position")
+        picked = ordinal(rows, ["bank"], order, "position")
     return picked.select(*columns, "position")

@@ -57,10 +57,7 @@ def session_types(attempts: DataFrame) -> DataFrame:
 
 def wrong_items(attempts: DataFrame) -> DataFrame:
     """Wrong answers of each session, numbered in answering order (one row each, no arrays)."""
-    return ordinal(
-        attempts.filter(~F.col("correct")), SESSION,
-        F.date_trunc("month", F.col("answered_at")), ["answered_at", "seq", "qid"], "item_no",
-    )
+    return ordinal(attempts.filter(~F.col("correct")), SESSION, ["answered_at", "seq", "qid"], "item_no")
 
 
 def topic_counts(attempts: DataFrame) -> DataFrame:

@@ -145,7 +145,7 @@ def upsert_manual(questions: DataFrame, manual: DataFrame) -> DataFrame:
     )
     ends = questions.groupBy("bank").agg(F.max("ord").alias("_end"))
     added = (
-        ordinal(hit.filter("first_ord is null"), ["bank"], F.floor(F.col("ord") / 4096), ["ord", "key"], "_n")
+        ordinal(hit.filter("first_ord is null"), ["bank"], ["ord", "key"], "_n")
         .join(ends, "bank", "left")
         .select("bank", (F.coalesce("_end", F.lit(0)) + F.col("_n")).alias("ord"), "stem", "answer", F.lit("added").alias("action"))
     )
@@ -155,7 +155,7 @@ def upsert_manual(questions: DataFrame, manual: DataFrame) -> DataFrame:
 def manual_positions(questions: DataFrame) -> DataFrame:
     """Manual questions with their 0-based place among the manual questions of their bank."""
     manual = questions.filter(F.col("source") == "manual")
-    return ordinal(manual, ["bank"], F.floor(F.col("ord") / 4096), ["ord"], "_n").withColumn(
+    return ordinal(manual, ["bank"], ["ord"], "_n").withColumn(
         "manual_index", F.col("_n") - 1
     ).drop("_n")
 

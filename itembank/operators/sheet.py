@@ -16,7 +16,7 @@ def practice_sheet(items: DataFrame, review: Column | None = None) -> DataFrame:
 
     A bank is never gathered into one cell; ``write_sheet`` writes the fragments sorted.
     """
-    numbered = ordinal(items, ["bank"], F.floor(F.col("ord") / 4096), ["ord"], "n")
+    numbered = ordinal(items, ["bank"], ["ord"], "n")
     title = items.groupBy("bank").agg(F.count("*").alias("n")).select(
         "bank", F.lit(0).alias("section"), F.lit(0).cast("bigint").alias("ord"),
         F.concat(

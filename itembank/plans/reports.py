@@ -195,7 +195,7 @@ def w1(spark, sf):
     one = F.lit(1).cast("bigint")
     rows = running_totals(
         attempts(spark, sf).select("bank", "session_id", "seq", "qid", "answered_at", F.col("correct").alias("ok")),
-        ["bank", "session_id"], F.date_trunc("month", F.col("answered_at")), ["answered_at", "seq", "qid"],
+        ["bank", "session_id"], ["answered_at", "seq", "qid"],
         {"answered": one, "correct": F.when(F.col("ok"), 1).otherwise(0).cast("bigint")}, {"total": one},
     )
     s = lambda c: F.col(c).cast("string")

@@ -82,12 +82,12 @@ def test_due_and_retry_order(spark):
     assert [r["qid"] for r in P.retry_rank(df).orderBy("rank").collect()] == ["C", "D", "A", "B", "E"]
 
 
-def test_chunked_numbering_equals_a_plain_window(spark):
+def test_ranged_numbering_equals_a_plain_window(spark):
     df = spark.range(5000).selectExpr("if(id % 3 = 0, 'hot', concat('k', id % 11)) AS k", "id", "id % 7 AS v").repartition(9)
-    out = ordinal(df, ["k"], F.floor(F.col("id") / 100), ["id"], "n")
+    out = ordinal(df, ["k"], ["id"], "n")
     check = out.selectExpr("n", "row_number() OVER (PARTITION BY k ORDER BY id) AS m").filter("n <> m").count()
     assert check == 0
-    run = running_totals(df, ["k"], F.floor(F.col("id") / 100), ["id"], {"s": F.col("v")}, {"t": F.col("v")})
+    run = running_totals(df, ["k"], ["id"], {"s": F.col("v")}, {"t": F.col("v")})
     assert run.selectExpr("s", "sum(v) OVER (PARTITION BY k ORDER BY id) AS m").filter("s <> m").count() == 0
 
 

@@ -1,7 +1,7 @@
 """Null keys, orphan records, partitioning and odd lexicons lose nothing."""
 
 from itembank.operators.extraction import ExtractionError, infer, messages
-from itembank.operators.ordering import ordinal
+from itembank.operators.ordering import _ranged, ordinal
 from itembank.operators.picking import pick_questions
 from itembank.operators.segment import Lexicon
 from pyspark.sql import functions as F
@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 def test_null_keys_and_orders_keep_their_rows(spark):
     rows = spark.createDataFrame([(None, None), (None, 1), ("a", None), ("a", 2), ("a", 5000)], "bank string, ord int")
-    found = ordinal(rows, ["bank"], F.floor(F.col("ord") / 4096), ["ord"]).collect()
+    found = ordinal(rows, ["bank"], ["ord"]).collect()
     assert sorted(((r.bank, r.ord, r["rank"]) for r in found), key=str) == sorted(
         [(None, None, 1), (None, 1, 2), ("a", None, 1), ("a", 2, 2), ("a", 5000, 3)], key=str
     )
@@ -45,3 +45,24 @@ def test_lexicon_words_are_taken_literally(spark):
     lex = Lexicon(aliases={"A,B:C'题": "单选", "x.y": "多选"})
     row = spark.createDataFrame([("A,B:C'题",)], "t string").select(lex.type_of(F.col("t")).alias("a"), F.lit("xzy").rlike(lex.alternatives()).alias("b")).head()
     assert (row.a, row.b) == ("单选", False)
+
+
+def test_hashed_ids_of_one_bank_are_numbered_by_many_tasks(spark):
+    """A bank that holds all rows lies in many ranges, and only its counts are placed one after the other."""
+    rows = spark.range(20000).select(F.lit("b").alias("bank"), F.sha1(F.col("id").cast("string")).alias("qid"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as if each range were large
+    try:
+        parts = _ranged(rows, ["bank"], ["qid"]).groupBy("__part").count().collect()
+        found = ordinal(rows, ["bank"], ["qid"], "n")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(parts) == 8 and max(r["count"] for r in parts) < 5000
+    assert [r.qid for r in found.orderBy("n").collect()] == sorted(r.qid for r in rows.collect())
+    assert ordinal(rows.limit(0), ["bank"], ["qid"]).count() == 0
+
+
+def test_favourites_outlive_their_questions(spark):
+    questions = spark.createDataFrame([("b", "q1", 1)], "bank string, qid string, ord int")
+    marks = spark.createDataFrame([("b", "q1"), ("b", "gone"), ("b", "gone")], "bank string, qid string")
+    picked = pick_questions(questions, "favorite", favorites=marks).orderBy("position").collect()
+    assert [(r.qid, r.ord, r.position) for r in picked] == [("gone", None, 1), ("q1", 1, 2)]
