@@ -1,75 +1,145 @@
 """Positioned page items to text lines in reading order, including two-column pages.
 
-Items are (doc_id, page, item_no, x, y, w, h, str). A page is the natural bounded group; statistics of
-a page are aggregates, and only its centres or occupied bins are gathered, never its text.
+Items are (doc_id, page, item_no, x, y, w, h, str). A page is the natural bounded group: its items are
+gathered in one row by one shuffle, and everything else works within that row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from bisect import bisect_left
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from itembank.functions.text import WS, compact, trim_ws
 from itembank.operators.segment import staged
-from itembank.session import materialize
 
 # --- fixed values: tolerances ---------------------------------------------------------------------
 ROW_TOLERANCE, VOTE_TOLERANCE = 1.5, 2.0
 MIN_ITEMS, MIN_SIDE, MIN_TEXT = 30, 10, 50
 PAGE = ["doc_id", "page"]
+ITEM = ["item_no", "x", "y", "w", "h", "str"]
 
 
 def text_items(items: DataFrame) -> DataFrame:
-    return items.filter(trim_ws(F.col("str")) != "").filter("x is not null and y is not null")
-
-
-def cluster_rows(items: DataFrame, keys: list[str] | None = None, tolerance: float = ROW_TOLERANCE, name: str = "row") -> DataFrame:
-    """Number rows from the top: a new row starts where the baseline drops by more than the tolerance."""
-    keys = keys or PAGE
-    w = Window.partitionBy(*keys).orderBy(F.desc("y"), "x", "item_no")
-    gap = F.lag("y").over(w) - F.col("y")
-    opens = F.when(gap.isNull() | (gap > tolerance), 1).otherwise(0)
-    return items.withColumn("_open", opens).withColumn(
-        name, F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ).drop("_open")
-
-
-def row_text(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Join the items of a row, with a space where the gap is wide and neither side has one."""
-    keys = [*(keys or PAGE), "row"]
-    w = Window.partitionBy(*keys).orderBy("x", "item_no")
-    end = F.lag(F.when(F.col("w") > 0, F.col("x") + F.col("w"))).over(w)
-    wide = F.col("x") - end > F.when(F.col("h") > 0, F.greatest(F.lit(0.5), F.col("h") * 0.25)).otherwise(0.5)
-    space = wide & ~F.lag("str").over(w).rlike(rf"[{WS}]$") & ~F.col("str").rlike(rf"^[{WS}]")
-    pieces = rows.withColumn("_piece", F.concat(F.when(space, " ").otherwise(""), "str"))
-    return pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("x", "item_no", "_piece"))).alias("_p")).select(
-        *keys, F.array_join(F.transform("_p", lambda p: p["_piece"]), "").alias("text")
-    )
+    return items.filter(trim_ws(F.col("str")) != "").filter("abs(x) < double('infinity') AND abs(y) < double('infinity')")
 
 
-def page_frame(items: DataFrame) -> DataFrame:
-    """Extent and item count of each page."""
-    right = F.col("x") + F.when(F.col("w") > 0, F.col("w")).otherwise(0.0)
-    return items.groupBy(*PAGE).agg(
-        F.count("*").alias("n"), F.min("x").alias("min_x"), (F.max(right) - F.min("x")).alias("width")
-    )
+def pages_of(items: DataFrame) -> DataFrame:
+    """One row per page with its text items in their given order: the only shuffle of this module."""
+    return text_items(items).groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct(*ITEM))).alias("its"))
 
 
-def _with_frame(items: DataFrame) -> DataFrame:
-    """Items of pages big enough to look for columns, with the extent of their page."""
-    w = Window.partitionBy(*PAGE)
-    right = F.col("x") + F.when(F.col("w") > 0, F.col("w")).otherwise(0.0)
-    rows = items.withColumn("right", right)
-    return rows.withColumn("n", F.count("*").over(w)).withColumn("min_x", F.min("x").over(w)).withColumn(
-        "width", F.max("right").over(w) - F.col("min_x")
-    ).filter(f"n >= {MIN_ITEMS} AND width > 0")
+def _rows_of(ys: list[float], tolerance: float, moving: bool) -> list[int]:
+    """The row of each item of a page, numbered from the top.
 
+    Rows are kept sorted by baseline. A moving baseline is the mean of the row's items, and an item
+    joins the nearest row within the tolerance; a fixed one is that of the row's first item, and an
+    item joins the oldest row within the tolerance. Only the two neighbours can qualify, and a mean
+    moves at most half way to an item that has no nearer row, so that the order never changes.
+    """
+    base: list[float] = []
+    size: list[int] = []
+    made: list[int] = []
+    out = []
+    for y in ys:
+        at = bisect_left(base, y)
+        near = [
+            (abs(base[r] - y) if moving else 0.0, made[r], r)
+            for r in (at - 1, at) if 0 <= r < len(base) and abs(base[r] - y) <= tolerance
+        ]
+        if near:
+            at = min(near)[2]
+            size[at] += 1
+            if moving:
+                base[at] += (y - base[at]) / size[at]
+        else:
+            base.insert(at, y)
+            size.insert(at, 1)
+            made.insert(at, len(made))
+        out.append(made[at])
+    place = {m: len(made) - i for i, m in enumerate(made)}
+    return [place[m] for m in out]
+
+
+def row_ids(ys: Column, columns: Column, tolerance: float = ROW_TOLERANCE, moving: bool = True) -> Column:
+    """Rows of the items of a page, each text column by itself; both arguments are arrays in item order."""
+
+    @F.pandas_udf("array<int>")
+    def ids(pages: pd.Series, sides: pd.Series) -> pd.Series:
+        out = []
+        for page, side in zip(pages, sides):
+            rows = np.zeros(len(page), dtype="int32")
+            for column in np.unique(side):
+                of = side == column
+                rows[of] = _rows_of(page[of].tolist(), tolerance, moving)
+            out.append(rows)
+        return pd.Series(out, dtype=object)
+
+    return ids(ys, columns)
+
+
+def _single(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("cols", F.expr("transform(its, s -> 0)"))
+
+
+def cluster_rows(items: DataFrame) -> DataFrame:
+    """Items with their row on the page, numbered from the top."""
+    pages = _single(pages_of(items)).withColumn("rows", row_ids(F.col("its.y"), F.col("cols")))
+    return pages.select(*PAGE, F.expr("inline(arrays_zip(its, rows))")).select(*PAGE, "its.*", F.col("rows").alias("row"))
+
+
+def _with_lines(pages: DataFrame) -> DataFrame:
+    """Add ``lines``: (col, row, text) in reading order.
+
+    The items of a row are joined from left to right, with a space where the gap is wide and neither side has one.
+    """
+    order = """array_sort(transform(its, (s, i) -> named_struct('col', cols[i], 'row', rows[i], 'x', s.x, 'item_no', s.item_no,
+        'end', if(s.w > 0, s.x + s.w, null), 'least', if(s.h > 0, greatest(0.5D, s.h * 0.25D), 0.5D), 'str', s.str)))"""
+    new = "(i = 0 OR get(o, i - 1).row <> s.row OR get(o, i - 1).col <> s.col)"
+    piece = rf"""if(NOT {new} AND coalesce(s.x - get(o, i - 1).end > s.least, false)
+        AND NOT rlike(get(o, i - 1).str, r'[{WS}]$') AND NOT rlike(s.str, r'^[{WS}]'), concat(' ', s.str), s.str)"""
+    out = staged(pages, o=F.expr(order))
+    out = staged(out, cuts=F.expr(f"filter(transform(o, (s, i) -> if({new}, i, -1)), i -> i >= 0)"), parts=F.expr(f"transform(o, (s, i) -> {piece})"))
+    text = "array_join(slice(parts, c + 1, coalesce(get(cuts, i + 1), size(o)) - c), '')"
+    lines = f"transform(cuts, (c, i) -> named_struct('col', o[c].col, 'row', o[c].row, 'text', {text}))"
+    return out.withColumn("lines", F.expr(lines)).drop("o", "cuts", "parts")
+
+
+def page_lines(items: DataFrame) -> DataFrame:
+    """Lines of every page from the top, without a search for text columns."""
+    pages = _single(pages_of(items)).withColumn("rows", row_ids(F.col("its.y"), F.col("cols")))
+    return _with_lines(pages).select(*PAGE, F.expr("inline(lines)")).select(*PAGE, "row", "text")
+
+
+def page_source(items: DataFrame) -> DataFrame:
+    """Located lines of every page, as the other sources give them: blank lines go, the rest is trimmed and numbered."""
+    pages = _single(pages_of(items)).withColumn("rows", row_ids(F.col("its.y"), F.col("cols")))
+    return _numbered(_with_lines(pages)).drop("col")
+
+
+def _numbered(pages: DataFrame) -> DataFrame:
+    lines = pages.withColumn("lines", F.filter("lines", lambda s: trim_ws(s["text"]) != ""))
+    return lines.select(*PAGE, F.expr("posexplode(lines) AS (i, s)")).select(
+        *PAGE, (F.col("i") + 1).alias("line"), F.lit(0).alias("para"), trim_ws(F.col("s.text")).alias("text"), F.col("s.col").alias("col")
+    )
 
-def two_means(framed: DataFrame) -> DataFrame:
-    """Column split by two means of the item centres, at most twelve rounds, with its guards."""
-    page = framed.groupBy(*PAGE).agg(
-        F.max("width").alias("width"), F.array_sort(F.collect_list((F.col("x") + F.col("right")) / 2)).alias("cs")
+
+def framed(items: DataFrame) -> DataFrame:
+    """Pages with their spans and extent; pages too small to have text columns have no width."""
+    pages = pages_of(items).withColumn(
+        "spans", F.expr("transform(its, s -> named_struct('x', s.x, 'right', s.x + if(s.w > 0, s.w, 0D)))")
     )
+    pages = staged(pages, n=F.expr("size(its)"), min_x=F.expr("array_min(spans.x)"), extent=F.expr("array_max(spans.right) - array_min(spans.x)"))
+    return pages.withColumn("width", F.expr(f"if(n >= {MIN_ITEMS} AND extent > 0, extent, null)")).drop("extent")
+
+
+def two_means(pages: DataFrame, name: str = "split_x") -> DataFrame:
+    """Add a column split by two means of the item centres, at most twelve rounds, with its guards, or null."""
+    centres = "if(width IS NULL, cast(array() as array<double>), array_sort(transform(spans, s -> (s.x + s.right) / 2)))"
+    page = staged(pages, cs=F.expr(centres))
     page = staged(page, total=F.expr("aggregate(cs, 0D, (q, c) -> q + c)"))
     low = """aggregate(cs, named_struct('n', 0, 'sum', 0D),
         (q, c) -> if(c <= (s.a + s.b) / 2, named_struct('n', q.n + 1, 'sum', q.sum + c), q))"""
@@ -77,86 +147,70 @@ def two_means(framed: DataFrame) -> DataFrame:
         'done', abs(l.sum / l.n - s.a) < 0.5D AND abs((total - l.sum) / (size(cs) - l.n) - s.b) < 0.5D, 'ok', true)"""
     stop = "named_struct('a', s.a, 'b', s.b, 'done', true, 'ok', false)"
     step = f"(s, i) -> if(s.done, s, transform(array({low}), l -> if(l.n = 0 OR l.n = size(cs), {stop}, {move}))[0])"
-    start = "named_struct('a', cs[0], 'b', element_at(cs, -1), 'done', element_at(cs, -1) <= cs[0], 'ok', element_at(cs, -1) > cs[0])"
+    apart = "coalesce(array_max(cs) > array_min(cs), false)"
+    start = f"named_struct('a', array_min(cs), 'b', array_max(cs), 'done', NOT {apart}, 'ok', {apart})"
     fit = staged(page, m=F.expr(f"aggregate(sequence(1, 12), {start}, {step})"))
-    fit = staged(fit, ok=F.col("m.ok"), lo=F.col("m.a"), hi=F.col("m.b"))
+    fit = staged(fit, lo=F.col("m.a"), hi=F.col("m.b"))
     within = lambda cond: F.expr(f"size(filter(cs, c -> {cond}))")
     fit = staged(
-        fit, mid_n=within("c >= lo + (hi - lo) * 0.25D AND c <= lo + (hi - lo) * 0.75D"), left_n=within("c < (lo + hi) / 2"), n=F.size("cs")
+        fit, mid_n=within("c >= lo + (hi - lo) * 0.25D AND c <= lo + (hi - lo) * 0.75D"), left_n=within("c < (lo + hi) / 2")
     )
-    return fit.filter(
-        "ok AND hi - lo >= greatest(width * 0.25D, 60D) AND mid_n <= n * 0.12D AND left_n >= n * 0.15D AND n - left_n >= n * 0.15D"
-    ).selectExpr(*PAGE, "(lo + hi) / 2 AS split_x")
-
-
-def blank_band(framed: DataFrame) -> DataFrame:
-    """Column split at the widest empty band of the middle of the page, of a hundred bins."""
-    i0 = F.greatest(F.lit(0), F.floor((F.col("x") - F.col("min_x")) / F.col("width") * 100)).cast("int")
-    i1 = F.least(F.lit(99), F.ceil((F.col("right") - F.col("min_x")) / F.col("width") * 100) - 1).cast("int")
-    bins = framed.withColumn("_i0", i0).withColumn("_i1", i1)
-    covered = bins.select(
-        *PAGE, "min_x", "width", F.explode_outer(F.expr("if(_i1 >= _i0, sequence(_i0, _i1), cast(array() as array<int>))")).alias("b")
-    ).groupBy(*PAGE).agg(F.max("min_x").alias("min_x"), F.max("width").alias("width"), F.collect_set("b").alias("bins"))
+    good = "m.ok AND hi - lo >= greatest(width * 0.25D, 60D) AND mid_n <= n * 0.12D AND left_n >= n * 0.15D AND n - left_n >= n * 0.15D"
+    return fit.withColumn(name, F.expr(f"if({good}, (lo + hi) / 2, null)")).drop("cs", "total", "m", "lo", "hi", "mid_n", "left_n")
+
+
+def blank_band(pages: DataFrame, name: str = "split_x") -> DataFrame:
+    """Add a column split at the widest empty band of the middle of the page, of a hundred bins, or null."""
+    i0 = "greatest(0, cast(floor((s.x - min_x) / width * 100) AS int))"
+    i1 = "least(99, cast(ceil((s.right - min_x) / width * 100) AS int) - 1)"
+    covered = f"array_distinct(flatten(transform(spans, s -> if({i1} >= {i0}, sequence({i0}, {i1}), cast(array() AS array<int>)))))"
     run = """aggregate(sequence(30, 70), named_struct('from', -1, 'best', -1, 'len', 0),
         (s, i) -> CASE WHEN array_contains(bins, i) THEN named_struct('from', -1, 'best', s.best, 'len', s.len)
             ELSE transform(array(if(s.from < 0, i, s.from)), f -> named_struct('from', f, 'best', if(i - f + 1 > s.len, f, s.best),
                 'len', greatest(s.len, i - f + 1)))[0] END)"""
-    return staged(covered, r=F.expr(run)).filter("r.len >= 3").selectExpr(
-        *PAGE, "min_x + ((r.best + r.len / 2) / 100) * width AS split_x"
-    )
-
-
-def gap_vote(framed: DataFrame) -> DataFrame:
-    """Column split where the widest gaps of most rows agree, of twenty bins."""
-    rows = cluster_rows(framed, PAGE, VOTE_TOLERANCE, "row")
-    w = Window.partitionBy(*PAGE, "row").orderBy("x", "item_no")
-    prev = F.lag("right").over(w)
-    gaps = rows.withColumn("gap", F.col("x") - prev).withColumn("mid", (F.col("x") + prev) / 2)
-    best = gaps.groupBy(*PAGE, "row").agg(
-        F.max("min_x").alias("min_x"), F.max("width").alias("width"), F.max("gap").alias("gap"),
-        F.max_by("mid", F.when(F.col("gap").isNotNull(), F.struct(F.col("gap"), -F.col("x")))).alias("mid"),
-    )
-    wide = F.col("gap") >= F.greatest(F.lit(8.0), F.col("width") * 0.015)
-    b = F.least(F.lit(19), F.greatest(F.lit(0), F.floor((F.col("mid") - F.col("min_x")) / F.col("width") * 20))).cast("int")
-    voted = best.withColumn("bin", F.when(wide, b))
-    page = voted.groupBy(*PAGE).agg(
-        F.max("min_x").alias("min_x"), F.max("width").alias("width"), F.count("*").alias("rows"), F.count("bin").alias("gaps")
-    )
-    counts = voted.filter("bin BETWEEN 5 AND 14").groupBy(*PAGE, "bin").agg(F.count("*").alias("v"))
-    spread_votes = counts.select(*PAGE, F.explode(F.expr("array(bin - 1, bin, bin + 1)")).alias("bin"), "v").groupBy(*PAGE, "bin").agg(F.sum("v").alias("v"))
-    winner = spread_votes.groupBy(*PAGE).agg(F.max("v").alias("v"), F.max_by("bin", F.struct(F.col("v"), -F.col("bin"))).alias("bin"))
-    return page.join(winner, PAGE).filter("gaps >= 5 AND v >= greatest(5D, rows * 0.5D)").selectExpr(
-        *PAGE, "min_x + ((bin + 0.5D) / 20) * width AS split_x"
-    )
+    page = staged(staged(pages, bins=F.expr(covered)), r=F.expr(run))
+    return page.withColumn(name, F.expr("if(r.len >= 3, min_x + ((r.best + r.len / 2) / 100) * width, null)")).drop("bins", "r")
 
 
-def column_splits(items: DataFrame) -> DataFrame:
-    """The split of each two-column page: two means, else the blank band, else the vote.
+def gap_vote(pages: DataFrame, name: str = "split_x") -> DataFrame:
+    """Add a column split where the widest gaps of most rows agree, of twenty bins, or null.
 
-    A split counts only with ten items on each side. The measured items are read by every attempt,
-    so they are written once.
+    A row keeps the baseline of its first item here.
     """
-    framed = materialize(_with_frame(items).select(*PAGE, "item_no", "x", "y", "right", "min_x", "width"), "framed")
-    tries = [f(framed).select(*PAGE, F.lit(i).alias("step"), "split_x") for i, f in enumerate((two_means, blank_band, gap_vote))]
-    splits = tries[0].unionByName(tries[1]).unionByName(tries[2])
-    sides = framed.select(*PAGE, "x").join(splits, PAGE).groupBy(*PAGE, "step", "split_x").agg(
-        F.count_if(F.col("x") < F.col("split_x")).alias("l"), F.count_if(F.col("x") >= F.col("split_x")).alias("r")
-    )
-    return sides.filter(f"l >= {MIN_SIDE} AND r >= {MIN_SIDE}").groupBy(*PAGE).agg(
-        F.min_by("split_x", "step").alias("split_x"), F.min("step").alias("step")
-    )
+    page = _single(pages).withColumn("ids", row_ids(F.col("its.y"), F.col("cols"), VOTE_TOLERANCE, moving=False))
+    spans = """array_sort(transform(spans, (s, i) -> named_struct('row', ids[i], 'x', s.x, 'item_no', its[i].item_no, 'right', s.right)))"""
+    page = staged(page, o=F.expr(spans))
+    gaps = """transform(filter(transform(o, (s, i) -> named_struct('row', s.row, 'last', get(o, i - 1), 'x', s.x)), g -> g.last.row = g.row),
+        g -> named_struct('row', g.row, 'less', g.last.right - g.x, 'x', g.x, 'mid', (g.x + g.last.right) / 2))"""
+    page = staged(page, g=F.expr(f"array_sort(filter({gaps}, g -> -g.less >= greatest(8D, width * 0.015D)))"))
+    bins = """transform(filter(transform(g, (e, i) -> if(i > 0 AND get(g, i - 1).row = e.row, null, e.mid)), m -> m IS NOT NULL),
+        m -> least(19, greatest(0, cast(floor((m - min_x) / width * 20) AS int))))"""
+    page = staged(page, bins=F.expr(bins))
+    page = staged(page, votes=F.expr(
+        "transform(sequence(0, 19), i -> size(filter(bins, b -> b BETWEEN 5 AND 14 AND abs(b - i) <= 1)))"
+    ))
+    good = "size(bins) >= 5 AND array_max(votes) >= greatest(5D, array_max(ids) * 0.5D)"
+    split = "min_x + ((array_position(votes, array_max(votes)) - 1 + 0.5D) / 20) * width"
+    return page.withColumn(name, F.expr(f"if({good}, {split}, null)")).drop("cols", "ids", "o", "g", "bins", "votes")
+
+
+def column_splits(pages: DataFrame) -> DataFrame:
+    """Add the split of each two-column page: two means, else the blank band, else the vote.
+
+    A split counts only with ten items on each side. All three read the same row, so nothing is joined.
+    """
+    tries = gap_vote(blank_band(two_means(pages, "split_1"), "split_2"), "split_3")
+    good = [
+        f"if(size(filter(its, s -> s.x < split_{i})) >= {MIN_SIDE} AND size(filter(its, s -> s.x >= split_{i})) >= {MIN_SIDE}, split_{i}, null)"
+        for i in (1, 2, 3)
+    ]
+    return staged(tries, split_x=F.expr(f"coalesce({', '.join(good)})")).drop("split_1", "split_2", "split_3", "spans")
 
 
 def reading_order(items: DataFrame) -> DataFrame:
     """Lines of every page in reading order: left column before right, numbered through the page."""
-    items = text_items(items)
-    placed = items.join(column_splits(items), PAGE, "left").withColumn(
-        "col", F.when(F.col("x") >= F.col("split_x"), 1).otherwise(0)
-    )
-    keys = [*PAGE, "col"]
-    lines = row_text(cluster_rows(placed, keys), keys).withColumn("text", trim_ws(F.col("text"))).filter("text <> ''")
-    w = Window.partitionBy(*PAGE).orderBy("col", "row")
-    return lines.withColumn("line", F.row_number().over(w)).select(*PAGE, "line", F.lit(0).alias("para"), "text", "col")
+    pages = staged(column_splits(framed(items)), cols=F.expr("transform(its, s -> if(coalesce(s.x >= split_x, false), 1, 0))"))
+    return _numbered(_with_lines(pages.withColumn("rows", row_ids(F.col("its.y"), F.col("cols")))))
 
 
 def text_layer(pages: DataFrame, lines: DataFrame) -> DataFrame:

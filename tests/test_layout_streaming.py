@@ -29,12 +29,51 @@ def test_columns_are_read_one_after_the_other(spark):
 
 
 def test_each_split_finds_the_gap(spark):
-    framed = Y._with_frame(page(spark))
+    framed = Y.framed(page(spark))
     for f in (Y.two_means, Y.blank_band, Y.gap_vote):
         x = f(framed).collect()[0]["split_x"]
         assert 116 < x < 306
 
 
+def test_rows_follow_a_moving_baseline(spark):
+    """Six items drifting by 1.4 points: a mean follows the first two, the third opens the next row."""
+    rows = [(1, 1, i, 30.0 * i, 100 - 1.4 * i, 20.0, 10.0, str(i)) for i in range(6)]
+    df = spark.createDataFrame(rows, ITEM)
+    assert [r["row"] for r in Y.cluster_rows(df).orderBy("item_no").collect()] == [1, 1, 2, 2, 3, 3]
+    nearest = spark.createDataFrame([(1, 1, i, 0.0, y, 1.0, 1.0, "a") for i, y in enumerate((10.0, 12.0, 11.4, 10.9, 20.0))], ITEM)
+    assert [r["row"] for r in Y.cluster_rows(nearest).orderBy("item_no").collect()] == [3, 2, 2, 2, 1]
+
+
+def test_rows_equal_a_search_of_all_rows():
+    import random
+
+    rng = random.Random(5)
+    for moving, tolerance in ((True, 1.5), (False, 2.0)):
+        for _ in range(200):
+            ys = [rng.choice((rng.uniform(0, 30), rng.randrange(0, 60) / 2)) for _ in range(rng.randrange(1, 60))]
+            rows, owner = [], []  # baseline and size of each row, oldest first
+            for y in ys:
+                fit = [(abs(b - y) if moving else 0, i) for i, (b, _) in enumerate(rows) if abs(b - y) <= tolerance]
+                if fit:
+                    i = min(fit)[1]
+                    b, n = rows[i]
+                    rows[i] = (b + (y - b) / (n + 1) if moving else b, n + 1)
+                else:
+                    i = len(rows)
+                    rows.append((y, 1))
+                owner.append(i)
+            order = sorted(range(len(rows)), key=lambda i: -rows[i][0])
+            assert Y._rows_of(ys, tolerance, moving) == [order.index(i) + 1 for i in owner]
+
+
+def test_broken_items_and_empty_pages(spark):
+    bad = [(1, 1, 0, float("nan"), 1.0, 1.0, 1.0, "a"), (1, 1, 1, 1.0, None, 1.0, 1.0, "b"), (1, 1, 2, 1.0, float("inf"), 1.0, 1.0, "c"),
+           (2, 1, 0, 5.0, 5.0, None, None, "x"), (2, 1, 1, 1.0, 5.0, -1.0, 0.0, "y"), (2, 1, 2, 9.0, 5.0, 1.0, 1.0, " ")]
+    df = spark.createDataFrame(bad, ITEM)
+    assert [(r.doc_id, r.line, r.text) for r in Y.reading_order(df).collect()] == [(2, 1, "yx")]
+    assert Y.reading_order(df.limit(0)).count() == 0 and Y.page_source(df).count() == 1
+
+
 def test_stream_equals_batch_and_survives_a_restart(spark, tmp_path):
     S.use_rocksdb(spark)
     src, out, ckpt = (str(tmp_path / d) for d in ("src", "out", "ckpt"))
