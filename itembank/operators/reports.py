@@ -16,6 +16,13 @@ def right() -> Column:
     return F.when(F.col("correct"), 1).otherwise(0).cast("bigint")
 
 
+def measures(facts: DataFrame) -> tuple[Column, Column]:
+    """Sums of answers and right answers: of single answers, or of rows that already hold counts."""
+    if "answered" in facts.columns:
+        return F.sum("answered"), F.sum("correct")
+    return F.count("*"), F.sum(right())
+
+
 def knowledge_point() -> Column:
     return F.when(F.coalesce(F.col("topic"), F.lit("")) != "", F.col("topic")).otherwise(F.col("qtype"))
 
@@ -38,12 +45,10 @@ def session_summary(attempts: DataFrame, extra: tuple[str, ...] = ()) -> DataFra
 
 
 def session_totals(attempts: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    answered, correct = measures(attempts)
     return (
         attempts.groupBy(*SESSION, *extra)
-        .agg(
-            F.count("*").alias("answered"), F.sum(right()).alias("correct"),
-            F.max("answered_at").alias("finished_at"),
-        )
+        .agg(answered.alias("answered"), correct.alias("correct"), F.max("answered_at").alias("finished_at"))
         .withColumn("accuracy", accuracy(F.col("correct"), F.col("answered")))
     )
 
@@ -62,10 +67,11 @@ def wrong_items(attempts: DataFrame) -> DataFrame:
 
 def topic_counts(attempts: DataFrame) -> DataFrame:
     """Answered, right and wrong per (session, knowledge point)."""
+    answered, correct = measures(attempts)
     return (
         attempts.withColumn("topic", knowledge_point())
         .groupBy(*SESSION, "topic")
-        .agg(F.count("*").alias("answered"), F.sum(right()).alias("right"))
+        .agg(answered.alias("answered"), correct.alias("right"))
         .withColumn("wrong", F.col("answered") - F.col("right"))
     )
 
@@ -91,9 +97,10 @@ def library_totals(attempts: DataFrame) -> DataFrame:
 
 
 def by_type(attempts: DataFrame) -> DataFrame:
+    answered, correct = measures(attempts)
     return (
         attempts.groupBy("bank", "qtype")
-        .agg(F.count("*").alias("answered"), F.sum(right()).alias("correct"))
+        .agg(answered.alias("answered"), correct.alias("correct"))
         .withColumn("accuracy", accuracy(F.col("correct"), F.col("answered")))
         .withColumn("type_rank", type_rank(F.col("qtype")))
     )

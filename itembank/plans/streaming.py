@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from itembank.plans.registry import query
+from itembank.operators import reports as R
+from itembank.plans.registry import ORACLES, query
 from itembank.plans.review import BOOK_COLS, _text
 from itembank.plans.sqlviews import BOOK_BODY, EVENTS
-from itembank.sources.tables import event_attempts, table
+from itembank.sources.tables import attempts, event_attempts, table
 from itembank.streaming import attempts as S
+from itembank.streaming.library import drain_cells
 
 TS = "yyyy-MM-dd HH:mm:ss"
 
@@ -28,6 +30,39 @@ def t2(spark, sf):
     return S.drain(S.running_totals(_attempts(spark, sf)), "update", ["bank", "qtype"], "totals")
 
 
+def _cells(spark, sf):
+    """All answers as a stream, joined to the question and session tables batch by batch, reduced to cells."""
+    return drain_cells(attempts(spark, sf, session_columns=True, lines=S.table_stream(spark, sf, "lineitem")))
+
+
+@query("t2_stream_library", ORACLES["a5_library_totals"])
+def t2_library(spark, sf):
+    return R.library_totals(_cells(spark, sf))
+
+
+@query("t2_stream_types", ORACLES["a6_by_type"])
+def t2_types(spark, sf):
+    return R.by_type(_cells(spark, sf))
+
+
+@query("t2_stream_modes", ORACLES["a7_by_mode"])
+def t2_modes(spark, sf):
+    return R.by_mode(_cells(spark, sf))
+
+
+@query("t2_stream_weak", ORACLES["a8_library_weak"])
+def t2_weak(spark, sf):
+    return R.library_weak(_cells(spark, sf)).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("t2_stream_recent", ORACLES["a9_recent"])
+def t2_recent(spark, sf):
+    return R.recent_sessions(_cells(spark, sf)).select(
+        "bank", "session_id", "mode", "answered", "correct", "accuracy", F.date_format("finished_at", TS).alias("finished_at"),
+        F.col("rank").cast("bigint").alias("rank"), (F.col("rank") <= 10).alias("shown"),
+    )
+
+
 @query("t3_stream_dedupe", f"WITH {EVENTS} SELECT DISTINCT seq, bank, qid, qtype, correct FROM v_events")
 def t3(spark, sf):
     twice = _attempts(spark, sf)

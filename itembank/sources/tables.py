@@ -77,14 +77,15 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def attempts(
-    spark: SparkSession, sf_dir: str, question_columns: bool = True, session_columns: bool = False
+    spark: SparkSession, sf_dir: str, question_columns: bool = True, session_columns: bool = False,
+    lines: DataFrame | None = None,
 ) -> DataFrame:
     """Answer facts: one row per line item.
 
     The order and part joins are plain equi joins left to the optimizer, and a caller that needs
-    neither side skips it.
+    neither side skips it. ``lines`` stands in for the line items, for example as a stream.
     """
-    li = table(spark, sf_dir, "lineitem").select(
+    li = (table(spark, sf_dir, "lineitem") if lines is None else lines).select(
         F.col("l_partkey"),
         F.col("l_partkey").cast("string").alias("qid"),
         F.col("l_orderkey").alias("session_id"),

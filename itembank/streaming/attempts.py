@@ -108,10 +108,14 @@ def daily(attempts: DataFrame, delay: str = "1 day") -> DataFrame:
     ).select("bank", F.to_date("w.start").alias("day"), "answered", "correct")
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a file stream."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)
+
+
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The event table as a file stream."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return table_stream(spark, sf_dir, "events")
 
 
 def drain(stream: DataFrame, mode: str, upsert_keys: list[str] | None = None, label: str = "stream") -> DataFrame:

@@ -5,8 +5,10 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from itembank.operators import layout as Y
+from itembank.operators import reports as R
 from itembank.operators.review import wrong_book
 from itembank.streaming import attempts as S
+from itembank.streaming.library import CellTable, cells
 
 ITEM = "doc_id bigint, page int, item_no int, x double, y double, w double, h double, str string"
 
@@ -101,3 +103,27 @@ def test_closed_sessions_leave_the_stream(spark, tmp_path):
     out = S.drain(S.sessions(spark.readStream.schema(schema).parquet(src)), "append", label="sessions")
     assert sorted(r["answered"] for r in out.collect()) == [2, 3]
     assert out.filter(F.col("ended_at") == start + dt.timedelta(minutes=50)).count() == 1
+
+
+def test_library_totals_over_many_batches_equal_one_reading(spark, tmp_path):
+    """Five batches with snapshots after the second and fourth; a replayed batch changes nothing; old folders go."""
+    start = dt.datetime(2024, 1, 1)
+    rows = [
+        ("b" if i % 3 else None, i % 7, "order", "单选" if i % 2 else "判断", "t" * (i % 3), start + dt.timedelta(minutes=i), i % 5 > 0)
+        for i in range(300)
+    ]
+    schema = "bank string, session_id int, mode string, qtype string, topic string, answered_at timestamp, correct boolean"
+    whole = spark.createDataFrame(rows, schema)
+    sink = CellTable(spark, str(tmp_path / "cells"), every=2)
+    for n in range(5):
+        batch = spark.createDataFrame(rows[n * 60:(n + 1) * 60], schema)
+        sink.write(batch, n)
+        if n in (1, 4):
+            sink.write(batch, n)  # covered by a snapshot, then a part of its own
+    assert sorted(p.name for p in (tmp_path / "cells" / "snapshots").iterdir() if p.name.isdigit()) == ["3"]
+    assert sorted(p.name for p in (tmp_path / "cells" / "parts").iterdir() if p.name.isdigit()) == ["4"]
+    got = sink.read(", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cells(whole).schema.fields))
+    for report in (R.library_totals, R.by_type, R.by_mode, R.library_weak, R.recent_sessions):
+        assert sorted(map(str, report(got).collect())) == sorted(map(str, report(whole).collect()))
+    assert CellTable(spark, str(tmp_path / "none")).read("bank string, session_id int, mode string, qtype string, topic string, "
+                                                         "answered bigint, correct bigint, answered_at timestamp").count() == 0
