@@ -4,6 +4,7 @@ from itembank.operators.extraction import ExtractionError, infer, messages
 from itembank.operators.ordering import _ranged, ordinal
 from itembank.operators.picking import pick_questions
 from itembank.operators.segment import Lexicon
+from itembank.sources import tables
 from pyspark.sql import functions as F
 
 
@@ -66,3 +67,12 @@ def test_favourites_outlive_their_questions(spark):
     marks = spark.createDataFrame([("b", "q1"), ("b", "gone"), ("b", "gone")], "bank string, qid string")
     picked = pick_questions(questions, "favorite", favorites=marks).orderBy("position").collect()
     assert [(r.qid, r.ord, r.position) for r in picked] == [("gone", None, 1), ("q1", 1, 2)]
+
+
+def test_tasks_follow_the_bytes_of_texts(spark, monkeypatch):
+    """By their own size small partitions would be merged, however many rows come out of a text."""
+    monkeypatch.setattr(tables, "SPREAD_BYTES", 10_000)
+    docs = spark.createDataFrame([(i, "é" * 500) for i in range(400)] + [(None, None)], "doc_id long, text string")
+    dealt = tables.spread(docs)
+    parts = dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.octet_length("text")).alias("n")).collect()
+    assert dealt.count() == 401 and len(parts) >= 30 and max(r["n"] or 0 for r in parts) <= 60_000
