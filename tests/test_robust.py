@@ -1,5 +1,8 @@
 """Null keys, orphan records, partitioning and odd lexicons lose nothing."""
 
+import time
+
+from itembank.functions.text import strip_bullets, trim_ws
 from itembank.operators.extraction import ExtractionError, infer, messages
 from itembank.operators.ordering import _ranged, ordinal
 from itembank.operators.picking import pick_questions
@@ -69,6 +72,24 @@ def test_favourites_outlive_their_questions(spark):
     assert [(r.qid, r.ord, r.position) for r in picked] == [("gone", None, 1), ("q1", 1, 2)]
 
 
+def test_trimming_looks_at_the_ends_only(spark):
+    """A run of blanks inside a text once cost the square of its length."""
+    blanks = "\t\n   　﻿"
+    rows = [(f"{blanks}a{' ' * 200_000}b{blanks}",), (blanks,), ("",), (None,), ("​x\u0085",)]
+    df = spark.createDataFrame(rows, "t string")
+    start = time.monotonic()
+    got = [r[0] for r in df.select(trim_ws(F.col("t"))).collect()]
+    assert got == [f"a{' ' * 200_000}b", "", "", None, "​x\u0085"]
+    assert time.monotonic() - start < 20
+
+
+def test_bullets_and_numbers_go_in_three_rounds(spark):
+    rows = ["• 1. （2） 三、 中", "1. 2. 3. 4. x", "1.x", "★①② a", "- ", "（12）（3）《y》", "　➤ 9） "]
+    want = ["中", "4. x", "1.x", "a", "", "《y》", "➤ 9）"]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    assert [r[0] for r in df.select(strip_bullets(F.col("t"))).collect()] == want
+
+
 def test_tasks_follow_the_bytes_of_texts(spark, monkeypatch):
     """By their own size small partitions would be merged, however many rows come out of a text."""
     monkeypatch.setattr(tables, "SPREAD_BYTES", 10_000)
