@@ -3,6 +3,7 @@
 import time
 
 from itembank.functions.text import strip_bullets, trim_ws
+from itembank.operators import generate
 from itembank.operators.extraction import ExtractionError, infer, messages
 from itembank.operators.ordering import _ranged, ordinal
 from itembank.operators.picking import pick_questions
@@ -97,3 +98,30 @@ def test_tasks_follow_the_bytes_of_texts(spark, monkeypatch):
     dealt = tables.spread(docs)
     parts = dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.octet_length("text")).alias("n")).collect()
     assert dealt.count() == 401 and len(parts) >= 30 and max(r["n"] or 0 for r in parts) <= 60_000
+
+
+def test_repeated_headers_are_looked_up_among_written_lines(spark):
+    """Cleaning ran twice, and all lines were shuffled for the few that repeat."""
+    rows = [("b", i, 0, t) for i in range(4) for t in ("页眉", "## x", f"a {i}", "long " * 20)] + [(None, None, 0, "页眉")] * 4 + [("b", 9, 0, "a 0"), ("b", 9, 1, None)]
+    lines = generate.prepared_lines(spark.createDataFrame(rows, "bank string, doc_id long, pos int, text string"))
+    kept = generate.drop_repeated_headers(lines)
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan and plan.count("LeftAnti") == 1 and "isnull(_key" in plan
+    got = sorted((r.bank or "", r.text) for r in kept.collect())
+    assert got == sorted([("b", "## x")] * 4 + [("b", f"a {i}") for i in range(4)] + [("b", "a 0")] + [("b", ("long " * 20).strip())] * 4 + [("", "页眉")] * 4)
+
+
+def test_sentences_are_cut_at_any_terminator(spark):
+    rows = [" 😀一。 二！？ ab;c é. ", "。。", "x", " 　 ", "", "a😀b ", "12", " P. 3", "page 12"]
+    lines = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "n int, text string")
+    cut = lambda ends: [(r.n, r.sent, r.text) for r in generate.sentences(lines, generate.Lexicon(terminators=ends)).orderBy("n", "sent").collect()]
+    want = ["😀一。", "二！", "？", "ab;", "c é."]
+    assert cut("。！？；!?;.") == [(0, i, t) for i, t in enumerate(want)] + [(1, 0, "。"), (1, 1, "。"), (2, 0, "x"), (5, 0, "a😀b"), (7, 0, "P."), (7, 1, "3")]
+    assert cut("😀 ")[:3] == [(0, 0, "😀"), (0, 1, "一。"), (0, 2, "二！？")]
+
+
+def test_reasons_of_sentences_that_start_with_a_letter(spark):
+    rows = {"page 1234567890 of 12": "page", "Page1234567890123/12": "page", "Contents": "heading", "B. 中国的首都是北京，人口很多": "option line", "请扫码加入我们的学习群，谢谢大家。": "promo",
+            "Chapter one of it......................12": "contents", "b, a sentence that carries an item.": "", "• 答案：这里是正确的说法，请看上文。": "answer line"}
+    sents = spark.createDataFrame([(t,) for t in rows], "text string")
+    assert {r.text: r.reason for r in generate.filter_sentences(sents).collect()} == rows
