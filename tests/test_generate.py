@@ -3,6 +3,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from itembank.operators import generate as N
 
 SCHEMA = "bank string, doc_id bigint, pos int, page int, line int, para int, text string"
@@ -130,3 +132,25 @@ def test_items_without_distractors_do_not_walk(spark, monkeypatch):
     monkeypatch.setattr(N, "_ring_window", lambda todo, *args: walked.append(todo.count()) or window(todo, *args))
     assert N.pick_distractors(df, ranked).count() == 0
     assert [n for n in walked if n] == [200]
+
+
+def test_detectors_run_once(spark):
+    found = N.key_terms(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in (found, found.select("doc_id", F.explode("raw")))]
+    assert plans[0].count(N.PERSON) == plans[1].count(N.PERSON) > 0
+
+
+def test_topics_pass_over_noise(spark):
+    rows = [(0, 0, "第一章 改革开放的历史背景。", "heading"), (1, 0, "a", "short"), (2, 0, "x", ""), (2, 1, "Two words", "heading"), (2, 2, "y", "page"), (3, 0, "z", "")]
+    df = spark.createDataFrame([("b", 1, *r) for r in rows], "bank string, doc_id long, pos int, sent int, text string, reason string")
+    got = {r["text"]: r["topic"] for r in N.usable_with_topics(df).collect()}
+    every = {r["text"]: r["topic"] for r in N.carry_topics(df).filter("reason = ''").collect()}
+    assert got == every == {"x": "改革开放的历史背景。", "z": "Two words"}
+
+
+def test_word_places(spark):
+    texts = ["", "xaa", "国家国", "会议会议😀会议", "the edthe ed", "tionation", "dad dadx"]
+    words = ["国", "会议", "the ed", "tion", "dad", "a"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.expr(N._word_hits("text", words)).alias("hits"))
+    want = {t: [(w, i) for w in words for i in range(len(t)) if t.startswith(w, i)] for t in texts}
+    assert {r["text"]: [tuple(h) for h in r["hits"]] for r in df.collect()} == want
