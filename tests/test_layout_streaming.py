@@ -68,6 +68,36 @@ def test_rows_equal_a_search_of_all_rows():
             assert Y._rows_of(ys, tolerance, moving) == [order.index(i) + 1 for i in owner]
 
 
+def test_groups_side_by_side_equal_each_alone():
+    import random
+
+    import numpy as np
+
+    from itembank.operators.pages import row_numbers
+
+    rng = random.Random(7)
+    for moving, tolerance in ((True, 1.5), (False, 2.0)):
+        groups = [[rng.choice((rng.uniform(0, 60), rng.randrange(0, 40) / 2)) for _ in range(rng.choice((0, 1, 3, 40, 90)))] for _ in range(700)]
+        groups = [[y for y in g for _ in range(rng.randrange(1, 4))] for g in groups] + [[]]
+        starts = np.append(0, np.cumsum([len(g) for g in groups]))
+        got = row_numbers(np.array([y for g in groups for y in g]), starts, tolerance, moving)
+        for g, a, b in zip(groups, starts[:-1], starts[1:]):
+            assert got[a:b].tolist() == Y._rows_of(g, tolerance, moving)
+
+
+def test_lines_are_read_in_one_pass_over_pages(spark, capsys):
+    """No function is called for every item: one map over pages, many in one call."""
+    one = page(spark)
+    many = one.crossJoin(spark.range(200).withColumnRenamed("id", "d")).withColumn("doc_id", F.col("d")).drop("d")
+    lines = Y.reading_order(many)
+    lines.explain()
+    plan = capsys.readouterr().out
+    assert plan.count("MapInArrow") == 1 and "lambda" not in plan and "ArrowEvalPython" not in plan
+    want = [(r["line"], r["col"], r["text"]) for r in Y.reading_order(one).orderBy("line").collect()]
+    got = lines.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("line", "col", "text"))).alias("ls")).collect()
+    assert len(got) == 200 and all([tuple(x) for x in r["ls"]] == want for r in got)
+
+
 def test_broken_items_and_empty_pages(spark):
     bad = [(1, 1, 0, float("nan"), 1.0, 1.0, 1.0, "a"), (1, 1, 1, 1.0, None, 1.0, 1.0, "b"), (1, 1, 2, 1.0, float("inf"), 1.0, 1.0, "c"),
            (2, 1, 0, 5.0, 5.0, None, None, "x"), (2, 1, 1, 1.0, 5.0, -1.0, 0.0, "y"), (2, 1, 2, 9.0, 5.0, 1.0, 1.0, " ")]
