@@ -1,14 +1,15 @@
 """Streaming forms: keyed review state, running totals, deduplicated intake, sessions, daily activity.
 
 Streams of one key are assumed in event order across micro-batches; rows inside a batch are sorted
-by the processor. A record idles until its next answer; state is one small row per key.
+by the processor. A record idles until its next answer; state is one small row per key, and keys are
+dealt to buckets whose answers are folded together.
 """
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,42 +28,96 @@ RESULT = (
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Keys are dealt to so many groups, whatever their number; a checkpoint holds for one number only.
+BUCKETS = 2048
+STAMPS = ("added_at", "last_wrong_at", "last_answer_at")
+
+
+def _last(marks: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The index of the last mark up to each row since the start of its key, or -1."""
+    at = np.maximum.accumulate(np.where(marks, np.arange(len(marks)), -1))
+    return np.where(at >= starts, at, -1)
+
+
+def _changes(start: np.ndarray, right: np.ndarray, at: np.ndarray, known: np.ndarray, old: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The record after every answer, and what the answer did to it.
+
+    Rows come by key and in order; ``start`` has the first row of a row's key, ``known`` and ``old``
+    the record its key had before the batch.
+    """
+    i = np.arange(len(start))
+    wrong = ~right
+    last = _last(wrong, start)
+    # an answer that is wrong finds a record unless seven right ones came since the wrong one before it
+    before = np.where(i > start, np.append(-1, last[:-1]), -1)
+    since = np.where(before >= 0, i - before - 1, old["correct_streak"] + i - start)
+    added = wrong & ~(((before >= 0) | known) & (since < GRADUATE_STREAK))
+    opened = _last(added, start)
+    wrongs = np.cumsum(wrong)
+    streak = np.where(last >= 0, i - last, old["correct_streak"] + i - start + 1)
+    live = ((last >= 0) | known) & (streak <= GRADUATE_STREAK)
+    count = np.where(opened >= 0, wrongs - wrongs[opened] + 1, old["wrong_count"] + wrongs - wrongs[start] + wrong[start])
+    status = np.select([added, live & (streak == GRADUATE_STREAK), live], ["added", "graduated", "updated"], "none")
+    stage = np.minimum(streak, len(INTERVALS) - 1)
+    days = np.asarray(INTERVALS, dtype="timedelta64[D]")[np.where(live, stage, 0)]
+    return {
+        "status": status, "live": live, "wrong_count": count, "correct_streak": streak, "stage": stage, "next_review": (at + days).astype("datetime64[D]"),
+        "added_at": np.where(opened >= 0, at[opened], old["added_at"]), "last_wrong_at": np.where(last >= 0, at[last], old["last_wrong_at"]),
+        "last_answer_at": at,
+    }
+
+
 class ReviewProcessor(StatefulProcessor):
-    """Keeps the live mistake record of a (bank, question); emits one row per answer."""
+    """Keeps the live mistake records of a bucket of (bank, question); emits one row per answer.
+
+    All keys of a bucket are folded by array operations; a record is read and written by itself.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.record = handle.getValueState("record", STATE)
+        self.records = handle.getMapState("records", "bank string, qid string", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        answers = pd.concat(list(rows)).sort_values(["answered_at", "seq"], kind="stable")
-        rec = tuple(self.record.get()) if self.record.exists() else None
-        out = []
-        for a in answers.itertuples(index=False):
-            at = a.answered_at.to_pydatetime() if hasattr(a.answered_at, "to_pydatetime") else a.answered_at
-            if not a.correct:
-                status = "updated" if rec else "added"
-                rec = (rec[0] + 1 if rec else 1, 0, rec[2] if rec else at, at, at)
-            elif rec:
-                rec = (rec[0], rec[1] + 1, rec[2], rec[3], at)
-                status = "graduated" if rec[1] >= GRADUATE_STREAK else "updated"
-            else:
-                status = "none"
-            if rec is None:
-                out.append((*key, a.seq, status, None, None, None, None, None, None, None))
-                continue
-            stage = min(rec[1], len(INTERVALS) - 1)
-            due = (at + dt.timedelta(days=INTERVALS[stage])).date()
-            out.append((*key, a.seq, status, rec[0], rec[1], stage, due, rec[2], rec[3], rec[4]))
-            if status == "graduated":
-                rec = None
-        if rec is None:
-            self.record.clear()
-        else:
-            self.record.update(rec)
-        names = [c.split()[0] for c in RESULT.split(", ")]
-        df = pd.DataFrame(out, columns=names)
+        answers = pd.concat(list(rows), ignore_index=True)
+        # null is a key like any other
+        bank, banks = pd.factorize(answers["bank"], use_na_sentinel=False)
+        qid, qids = pd.factorize(answers["qid"], use_na_sentinel=False)
+        at = answers["answered_at"].to_numpy("datetime64[us]")
+        place = np.where(np.isnat(at), np.iinfo("int64").max, at.view("int64"))
+        o = np.lexsort((answers["seq"].to_numpy(), place, qid, bank))
+        bank, qid, at = bank[o], qid[o], at[o]
+        right = answers["correct"].eq(True).to_numpy(bool)[o]
+        new = np.append(True, (bank[1:] != bank[:-1]) | (qid[1:] != qid[:-1]))
+        heads, of = np.flatnonzero(new), np.cumsum(new) - 1
+        name = lambda values, c: None if pd.isna(values[c]) else values[c]
+        keys = [(name(banks, b), name(qids, q)) for b, q in zip(bank[heads], qid[heads], strict=True)]
+
+        blank = (0, 0, None, None, None)
+        seen = self.records.exists()
+        found = [tuple(self.records.getValue(k)) if seen and self.records.containsKey(k) else blank for k in keys]
+        known = np.array([r is not blank for r in found])
+        old = {
+            c: np.array(v, dtype="datetime64[us]" if c in STAMPS else "int64")[of]
+            for c, v in zip([f.split()[0] for f in STATE.split(", ")], zip(*found, strict=True), strict=True)
+        }
+        out = _changes(heads[of], right, at, known[of], old)
+
+        ends = np.append(heads[1:], len(at)) - 1
+        live = out["live"][ends] & (out["status"][ends] != "graduated")
+        stamps = [out[c][ends].astype(object) for c in STAMPS]
+        counts = [out[c][ends].tolist() for c in ("wrong_count", "correct_streak")]
+        for k, stays, was, *record in zip(keys, live, known, *counts, *stamps, strict=True):
+            if stays:
+                self.records.updateValue(k, tuple(record))
+            elif was:
+                self.records.removeKey(k)
+
+        nothing = ~out["live"]
+        df = pd.DataFrame({"bank": banks.take(bank), "qid": qids.take(qid), "seq": answers["seq"].to_numpy()[o], "status": out["status"]})
         for c in ("wrong_count", "correct_streak", "stage"):
-            df[c] = df[c].astype("Int64")
+            df[c] = pd.arrays.IntegerArray(out[c].astype("int64"), nothing)
+        df["next_review"] = pd.Series(out["next_review"].astype(object)).where(~nothing, None)
+        for c in STAMPS:
+            df[c] = pd.Series(out[c]).where(~nothing)
         yield df
 
     def close(self) -> None:
@@ -71,7 +126,8 @@ class ReviewProcessor(StatefulProcessor):
 
 def review_updates(attempts: DataFrame) -> DataFrame:
     """A stream of answers to a stream of record changes."""
-    return attempts.groupBy("bank", "qid").transformWithStateInPandas(
+    dealt = attempts.withColumn("_bucket", F.pmod(F.xxhash64("bank", "qid"), F.lit(BUCKETS)).cast("int"))
+    return dealt.groupBy("_bucket").transformWithStateInPandas(
         statefulProcessor=ReviewProcessor(), outputStructType=RESULT, outputMode="Update", timeMode="None"
     )
 

@@ -124,6 +124,48 @@ def test_stream_equals_batch_and_survives_a_restart(spark, tmp_path):
     assert sorted(map(tuple, got.select(cols).collect())) == sorted(map(tuple, want.select(cols).collect()))
 
 
+def test_keys_of_a_bucket_are_folded_together():
+    """Thousands of keys, null ones too, in one call a batch; every change equals a reading answer by answer."""
+    import random
+
+    import pandas as pd
+
+    class Records(dict):
+        exists, containsKey, getValue, updateValue, removeKey = (  # noqa: N815
+            lambda self: len(self) > 0, dict.__contains__, dict.__getitem__, dict.__setitem__, dict.__delitem__)
+
+    rng, start, processor = random.Random(11), dt.datetime(2024, 1, 1), S.ReviewProcessor()
+    processor.records, book, seq = Records(), {}, 0
+    for batch in range(3):
+        rows, want = [], []
+        for key in range(3000):
+            bank, qid = (None if key % 50 == 0 else str(key // 5)), str(key % 5)
+            for _ in range(rng.choice((0, 1, 9, 20)) if key else 40):
+                at, right, seq = start + dt.timedelta(days=batch, minutes=seq % 700), rng.random() < 0.85, seq + 1
+                rows.append((bank, qid, seq, at, right))
+        for bank, qid, n, at, right in sorted(rows, key=lambda r: (r[3], r[2])):
+            rec = book.pop((bank, qid), None)
+            if not right:
+                status, rec = ("updated", (rec[0] + 1, 0, rec[2], at, at)) if rec else ("added", (1, 0, at, at, at))
+            elif rec:
+                rec = (rec[0], rec[1] + 1, *rec[2:4], at)
+                status = "graduated" if rec[1] == 7 else "updated"
+            else:
+                status = "none"
+            if rec and status != "graduated":
+                book[bank, qid] = rec
+            stage = min(rec[1], len(S.INTERVALS) - 1) if rec else None
+            due = (at + dt.timedelta(days=S.INTERVALS[stage])).date() if rec else None
+            want.append((bank, qid, n, status, *(rec[:2] if rec else (None, None)), stage, due, *(rec[2:] if rec else (None,) * 3)))
+        rng.shuffle(rows)
+        frame = pd.DataFrame(rows, columns=["bank", "qid", "seq", "answered_at", "correct"])
+        out = pd.concat(list(processor.handleInputRows((0,), iter([frame[:5000], frame[5000:]]), None)))
+        assert list(out.columns) == [c.split()[0] for c in S.RESULT.split(", ")]
+        got = [tuple(None if pd.isna(v) else v for v in r) for r in out.astype(object).itertuples(index=False)]
+        assert sorted(got, key=lambda r: r[2]) == sorted(want, key=lambda r: r[2])
+        assert dict(processor.records) == book
+
+
 def test_closed_sessions_leave_the_stream(spark, tmp_path):
     src = str(tmp_path / "src")
     start = dt.datetime(2024, 1, 1)
