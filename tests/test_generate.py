@@ -154,3 +154,15 @@ def test_word_places(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string").select("text", F.expr(N._word_hits("text", words)).alias("hits"))
     want = {t: [(w, i) for w in words for i in range(len(t)) if t.startswith(w, i)] for t in texts}
     assert {r["text"]: [tuple(h) for h in r["hits"]] for r in df.collect()} == want
+
+
+def test_balance_works_out_only_what_is_read(spark):
+    """Explanations, topics and texts that nobody reads are not moved through the choice of items."""
+    rows = usable(spark, POOL).localCheckpoint()
+    items = N.cloze_items(rows).unionByName(N.judge_items(rows))
+    chosen = N.balance(items, rows, 10)
+    narrow = chosen.select("bank", "doc_id", "pos", "sent", "kind", "qid", "ord")
+    told = [df._jdf.queryExecution().optimizedPlan().toString().count("出自原文") for df in (chosen, narrow)]
+    assert told[0] > 0 and told[1] == 0
+    assert sorted(map(tuple, narrow.collect())) == sorted(map(tuple, chosen.select(narrow.columns).collect()))
+    assert set(chosen.columns) == {*items.columns, "ord"}
